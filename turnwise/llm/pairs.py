@@ -229,6 +229,8 @@ def is_truncated(response: str) -> bool:
         return False
     if text.count("`") % 2 and "```" not in text:
         return True
+    if text.endswith("`"):  # closed inline code
+        return False
     if re.search(r"[.!?。]['\")\]*_”’»]*$", last):
         return False
     if re.search(r"[,;(\[{–—-]$|[:=+]$", last):
