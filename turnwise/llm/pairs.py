@@ -61,7 +61,6 @@ _FENCE = re.compile(r"(?:```|~~~)[^\n]*\n?.*?(?:```|~~~|\Z)", re.S)
 _INLINE = re.compile(r"`[^`\n]*`")
 _QUOTE_LINE = re.compile(r"(?m)^\s*>.*$")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-_INVISIBLE = dict.fromkeys([0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD, 0x00A0])
 
 #: Function words of the languages told apart.
 FUNCTION_WORDS = {
@@ -83,21 +82,33 @@ _ASKED = re.compile(
 
 def prose(text: str) -> str:
     """The running text without code, inline code and quoted lines."""
-    return _QUOTE_LINE.sub(" ", _INLINE.sub(" ", _FENCE.sub(" ", text.replace("[code block]", " "))))
+    text = text.replace("[code block]", " ")
+    if "```" in text or "~~~" in text:
+        text = _FENCE.sub(" ", text)
+    if "`" in text:
+        text = _INLINE.sub(" ", text)
+    return _QUOTE_LINE.sub(" ", text) if ">" in text else text
+
+
+_SPOKEN = re.compile(r"[a-zß-öø-ÿœ][a-zß-öø-ÿœ'’]*")
+_LETTER = re.compile("[" + "".join(_LETTERS) + "]")
 
 
 def language_votes(text: str) -> dict[str, float]:
     """Function words and typical letters of each language in running text; shared words count in shares."""
     votes: dict[str, float] = {}
-    low = prose(text).lower().replace("’", "'")
-    for w in _WORD.findall(low):
-        for part in {w, *w.split("'")} if "'" in w else (w,):
-            langs = _FUNCTION.get(part)
-            if langs:
-                for x in langs:
-                    votes[x] = votes.get(x, 0) + 1 / len(langs)
-    for c in low:
-        if c in _LETTERS:
+    low = prose(text).lower()
+    for w in _SPOKEN.findall(low):
+        langs = _FUNCTION.get(w)
+        if langs:
+            for x in langs:
+                votes[x] = votes.get(x, 0) + 1 / len(langs)
+        elif "'" in w or "’" in w:
+            for part in w.replace("’", "'").split("'"):
+                for x in _FUNCTION.get(part, ()):
+                    votes[x] = votes.get(x, 0) + 1 / len(_FUNCTION[part])
+    if not low.isascii():
+        for c in _LETTER.findall(low):
             votes[_LETTERS[c]] = votes.get(_LETTERS[c], 0) + 0.5
     return votes
 
@@ -129,7 +140,7 @@ def tokens(text: str) -> list[str]:
 _TEMPLATES = [tokens(t) for t in REFUSALS]
 _TEMPLATE_WORDS = [set(t) for t in _TEMPLATES]
 _REFUSAL_CUES = re.compile(
-    r"(?i)\b(?:can(?:'|no|’)t|cannot|sorry|unable|not able|apolog|declin|refus|rather not|pass on|falls outside|allowed|guidelines|instructions|will not|won['’]t|not something|leider|leid|darf|richtlinien|ablehn|nicht helfen|désolé|refuser|mesure|consignes|ne peux|siento|rechazar|posible|normas|no puedo)"
+    r"\b(?:can(?:'|no|’)t|cannot|sorry|unable|not able|apolog|declin|refus|rather not|pass on|falls outside|allowed|guidelines|instructions|will not|won['’]t|not something|leider|leid|darf|richtlinien|ablehn|nicht helfen|désolé|refuser|mesure|consignes|ne peux|siento|rechazar|posible|normas|no puedo)"
 )
 
 
@@ -153,7 +164,7 @@ def is_refusal(response: str, least: float = 0.85) -> bool:
     A sentence is aligned with a template by longest common subsequence: most of the template's
     words must be in it in order, and it must say little else.
     """
-    if not _REFUSAL_CUES.search(response):
+    if not _REFUSAL_CUES.search(response.lower()):
         return False
     for sentence in re.split(r"(?<=[.!?])\s+|\n+", prose(response)):
         words = tokens(sentence)
@@ -178,6 +189,9 @@ def is_copy(prompt: str, response: str, least: float = 0.8) -> bool:
     Shingles of five words of the response must be contained in the (repeated) prompt, or the
     longest common subsequence cover the response; and it must cover the better part of the prompt.
     """
+    said = set(response.lower().split())
+    if len(said & set(prompt.lower().split())) < 0.4 * len(said):  # before the costlier tokens
+        return False
     a, b = tokens(prompt), tokens(response)
     if len(a) < 3 or len(b) < 3:
         return False
@@ -194,12 +208,11 @@ def is_copy(prompt: str, response: str, least: float = 0.8) -> bool:
 
 _VISIBLE = re.compile(r"\w", re.U)
 _LIST_ITEM = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+\S")
-_END = re.compile(r"[.!?…:)\]\"'”’»`*_]\s*$")
 
 
 def is_empty(response: str | None) -> bool:
     """No letter, digit or code anywhere."""
-    return response is None or not _VISIBLE.search(response.translate(_INVISIBLE))
+    return response is None or not _VISIBLE.search(response)
 
 
 def is_truncated(response: str) -> bool:
@@ -208,34 +221,34 @@ def is_truncated(response: str) -> bool:
     Lists, headings before code, code alone and code marks are complete without a full stop.
     """
     fence = None
-    for line in response.split("\n"):
-        mark = re.match(r"\s*(```|~~~)", line)
-        if mark:
-            if fence is None:
-                fence = mark[1]
-                if line.count(mark[1]) > 1:  # opened and closed on one line
+    if "```" in response or "~~~" in response:
+        for line in response.split("\n"):
+            line = line.lstrip()
+            if line.startswith(("```", "~~~")):
+                mark = line[:3]
+                if fence is not None:
                     fence = None
-            elif re.match(r"\s*(?:```|~~~)", line):
-                fence = None
+                elif line.count(mark) == 1:  # else opened and closed on one line
+                    fence = mark
     if fence is not None:
         return True
     text = response.rstrip()
-    if text.endswith("…") or re.search(r"(?<!\.)\.\.\.$", text):
+    if text.endswith("…") or text.endswith("...") and not text.endswith("...."):
         return True
-    if re.search(r"(?:```|~~~)$", text) or text.endswith("[code block]"):
+    if text.endswith(("```", "~~~", "[code block]")):
         return False
-    last = text.split("\n")[-1]
+    last = text[text.rfind("\n") + 1 :]
     if _LIST_ITEM.match(last):
         return False
     if text.count("`") % 2 and "```" not in text:
         return True
     if text.endswith("`"):  # closed inline code
         return False
-    if re.search(r"[.!?。]['\")\]*_”’»]*$", last):
+    if last.rstrip("'\")]*_”’»").endswith((".", "!", "?", "。")):
         return False
-    if re.search(r"[,;(\[{–—-]$|[:=+]$", last):
+    if last.endswith((",", ";", "(", "[", "{", "–", "—", "-", ":", "=", "+")):
         return True
-    if re.search(r"[)\]};>]$", last):  # a complete line of code
+    if last.endswith((")", "]", "}", ">")):  # a complete line of code
         return False
     return len(_WORD.findall(last)) >= 2
 
