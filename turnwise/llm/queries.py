@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from turnwise.llm.pairs import find_defects
+from turnwise.llm.pii import find_personal
 from turnwise.llm.secrets import find_credentials
 from turnwise.sources.tables import table
 
@@ -21,5 +22,9 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return find_defects(table(spark, base, "turns"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found}
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    return find_personal(table(spark, base, "turns"), table(spark, base, "session_messages"))
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found}
 ORACLE: dict[str, str] = {}
