@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T
 
 K = 3
@@ -206,6 +207,13 @@ def leaked_items(text: str | None, held: HeldOut, least: float = LEAST, k: int =
 _LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("share", T.DoubleType())]))
 
 
+def _finder(shared: Broadcast, least: float):
+    def find(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"item_id": i, "share": s} for i, s in leaked_items(t, shared.value, least)])
+
+    return F.pandas_udf(find, _LEAKS)
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, least: float = LEAST, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, share): documents that hold at least ``least`` of an item's passage.
 
@@ -227,11 +235,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: float = LEAST, blo
     texts = documents.select("doc_id", "text").where("text IS NOT NULL AND text <> ''")
     out = None
     for block in blocks:
-        shared = spark.sparkContext.broadcast(HeldOut.of(block))
-
-        def find(series: pd.Series, shared=shared) -> pd.Series:
-            return series.map(lambda t: [{"item_id": i, "share": s} for i, s in leaked_items(t, shared.value, least)])
-
-        part = texts.select("doc_id", F.explode(F.pandas_udf(find, _LEAKS)("text")).alias("l")).select("doc_id", "l.item_id", "l.share")
+        find = _finder(spark.sparkContext.broadcast(HeldOut.of(block)), least)
+        part = texts.select("doc_id", F.explode(find("text")).alias("l")).select("doc_id", "l.item_id", "l.share")
         out = part if out is None else out.unionByName(part)
     return out
