@@ -439,7 +439,7 @@ def default_field() -> Field:
 _GATE_NUMBER = re.compile(r"\d[\d ./()-]{5}|[A-Z]\d{4}|[A-Z]\d{2}[A-Z]\d")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _GATE_PLACE = re.compile(r"\d[ a-z]{0,7},? (?:[a-zà-ÿ.’'-]+ ){1,5}|(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|damm|ufer|pfad|steig|chaussee),? \d|calle |c/|avenida |avda\.|plaza |paseo |camino |ronda ")
-_PAIR = re.compile(r"[A-ZÀ-Ý][a-zà-ÿ’'-]+ [A-ZÀ-Ý][a-zà-ÿ’'-]*[a-zà-ÿ]")
+_PAIR = re.compile(r"[A-ZÀ-Ý][a-zà-ÿ’'-]+ (?=([A-ZÀ-Ý][a-zà-ÿ’'-]*[a-zà-ÿ]))")
 
 
 def may_hold(text: str) -> bool:

@@ -45,7 +45,7 @@ RULES: dict[str, str] = {
 
 #: Words that stand for a credential without being one.
 _PLACEHOLDER = re.compile(
-    r"(?i)^(?:change[_-]?me|replace[_-]?(?:me|this)?|your[_-].*|.*[_-]?here|x{3,}|\*{3,}|\.{2,}|-+|<.*>|todo|tbd|none|null|nil|undefined|true|false|example|sample|dummy|test|redacted|\[?redacted\]?|placeholder|insert.*|enter.*|fill[_-].*|str|string|int|bool|bytes|optional|any|password|passwd|secret|token|passphrase)$"
+    r"(?i)^(?:change[_-]?me|replace[_-]?(?:me|this)?|your[_-].*|.*[_-]?here|x{3,}|\*{3,}|\.{2,}|-+|<.*>|todo|tbd|none|null|nil|undefined|true|false|example|sample|dummy|test|\[?redacted.*|placeholder|insert.*|enter.*|fill[_-].*|str|string|int|bool|bytes|optional|any|password|passwd|secret|token|passphrase)$"
 )
 _REFERENCE = re.compile(r"[$<>{}\[\]()]|^%|%$|^env[.:]|^vault[.:/]|^secret[s]?[/:]|os\.|process\.|environ")
 _PATHLIKE = re.compile(r"^(?:\.{0,2}/)?(?:[A-Za-z_.-]+/)+[A-Za-z_.-]+$")
