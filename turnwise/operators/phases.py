@@ -11,11 +11,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
-
-from turnwise.functions.text import tokens
+from pyspark.sql import DataFrame, functions as F, types as T
 
 PHASES = ["planning", "implementation", "debugging", "testing", "review", "discussion"]
 CATEGORIES = PHASES[:5]
@@ -51,36 +50,32 @@ def category_weights() -> dict[str, dict[str, float]]:
     return out
 
 
-def stems(text: Column) -> Column:
-    def cut(w: Column) -> Column:
-        out = None
-        for s in SUFFIXES:
-            fits = w.endswith(s) & (F.length(w) > len(s) + 2)
-            short = F.substring(w, F.lit(1), F.length(w) - len(s))
-            out = F.when(fits, short) if out is None else out.when(fits, short)
-        return out.otherwise(w)
-
-    return F.transform(tokens(F.lower(text)), cut)
+_TOKEN = re.compile(r"\b[\w'-]+\b")
+_WEIGHTS = category_weights()
+_KNOWN = {w: k for k, c in enumerate(CATEGORIES) for w in _WEIGHTS[c]}
 
 
-def similarities(text: Column) -> Column:
-    """Cosine of the text to each category, as an array in category order; null without tokens.
+def similarities(text: str) -> list[float] | None:
+    """Cosine of a text to each category, in category order; None without tokens.
 
-    Only category words have a weight on the text side too, hence the sums over known stems.
+    Only category words have a weight on the text side too, so the norm is that of the known stems.
     """
-    found = stems(text)
-    weights = category_weights()
-    known = F.array(*[F.lit(w) for v in weights.values() for w in v])
-    counted = F.filter(found, lambda w: F.array_contains(known, w))
-    distinct = F.array_distinct(counted)
-    square = F.aggregate(distinct, F.lit(0.0), lambda acc, w: acc + F.pow(F.size(F.filter(counted, lambda x: x == w)).cast("double"), F.lit(2.0)))
+    found = _TOKEN.findall(text.lower())
+    if not found:
+        return None
+    counts = Counter(s for w in found if (s := stem(w)) in _KNOWN)
+    if not counts:
+        return [0.0] * len(CATEGORIES)
+    norm = math.sqrt(sum(n * n for n in counts.values()))
+    out = [0.0] * len(CATEGORIES)
+    for w, n in counts.items():
+        out[_KNOWN[w]] += _WEIGHTS[CATEGORIES[_KNOWN[w]]][w] * n / norm
+    return out
 
-    def dot(v: dict[str, float]) -> Column:
-        lookup = F.create_map(*[F.lit(x) for pair in v.items() for x in pair])
-        return F.aggregate(counted, F.lit(0.0), lambda acc, w: acc + F.coalesce(F.try_element_at(lookup, w), F.lit(0.0)))
 
-    dots = [dot(v) for v in weights.values()]
-    return F.when(F.size(found) > 0, F.transform(F.array(*dots), lambda d: F.when(square > 0, d / F.sqrt(square)).otherwise(F.lit(0.0))))
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def similarities_of(texts: pd.Series) -> pd.Series:
+    return texts.map(similarities)
 
 
 def label(speaker: str, has_code: bool, blank: bool, sims, previous: str) -> str:
@@ -100,44 +95,49 @@ def label(speaker: str, has_code: bool, blank: bool, sims, previous: str) -> str
     return "implementation" if speaker == "Tool" else "discussion"
 
 
-def _signals(turns: DataFrame) -> DataFrame:
-    return turns.withColumns({"_sims": similarities(F.col("content")), "_code": F.size("blocks") > 0, "_blank": F.col("content") == ""})
-
-
-def _rows(pdf: pd.DataFrame) -> list[tuple]:
-    pdf = pdf.sort_values("turn_idx")
-    return list(zip(pdf["speaker"], pdf["_code"], pdf["_blank"], pdf["_sims"]))
+def _compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each block the last phase by first phase; rows come sorted by transcript, block and turn."""
+    here, ends = None, list(PHASES)
+    for pdf in batches:
+        out = []
+        for t, b, *signals in zip(pdf["transcript_id"], pdf["_block"], pdf["speaker"], pdf["_code"], pdf["_blank"], pdf["_sims"]):
+            if (t, b) != here:
+                if here is not None:
+                    out.append((*here, ends))
+                here, ends = (t, b), list(PHASES)
+            ends = [label(*signals, s) for s in ends]
+        yield pd.DataFrame(out, columns=["transcript_id", "_block", "_ends"])
+    if here is not None:
+        yield pd.DataFrame([(*here, ends)], columns=["transcript_id", "_block", "_ends"])
 
 
-def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = _rows(pdf)
-    ends = []
-    for state in PHASES:
-        for r in rows:
-            state = label(*r, state)
-        ends.append(state)
-    return pd.DataFrame({"transcript_id": [pdf["transcript_id"].iloc[0]], "_block": [pdf["_block"].iloc[0]], "_ends": [ends]})
+def _relabel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    here, state = None, "discussion"
+    for pdf in batches:
+        out = []
+        for t, b, start, *signals in zip(pdf["transcript_id"], pdf["_block"], pdf["_start"], pdf["speaker"], pdf["_code"], pdf["_blank"], pdf["_sims"]):
+            if (t, b) != here:
+                here, state = (t, b), start
+            state = label(*signals, state)
+            out.append(state)
+        yield pd.DataFrame({"transcript_id": pdf["transcript_id"], "turn_idx": pdf["turn_idx"], "phase": out})
 
 
-def _relabel(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("turn_idx")
-    state = pdf["_start"].iloc[0]
-    out = []
-    for r in zip(pdf["speaker"], pdf["_code"], pdf["_blank"], pdf["_sims"]):
-        state = label(*r, state)
-        out.append(state)
-    return pd.DataFrame({"transcript_id": pdf["transcript_id"], "turn_idx": pdf["turn_idx"], "phase": out})
+def _in_order(df: DataFrame) -> DataFrame:
+    return df.repartition("transcript_id", "_block").sortWithinPartitions("transcript_id", "_block", "turn_idx")
 
 
 def label_phases(turns: DataFrame, enabled: bool = True) -> DataFrame:
     """(transcript_id, turn_idx, phase) of normalised turns; all ``discussion`` where disabled.
 
-    Transcripts of one block, nearly all, are labelled in one pass; longer ones block by block.
+    Transcripts of one block, nearly all, are labelled in one pass; longer ones block by block.  Python
+    sees only the signals of a turn, streamed through sorted partitions; no group is held in memory.
     """
     if not enabled:
         return turns.select("transcript_id", "turn_idx", F.lit("discussion").alias("phase"))
-    x = _signals(turns).select("transcript_id", "turn_idx", "_block", "speaker", "_code", "_blank", "_sims")
-    ends = x.groupBy("transcript_id", "_block").applyInPandas(_compose, "transcript_id long, _block long, _ends array<string>")
+    x = turns.select("transcript_id", "turn_idx", "_block", "speaker", (F.size("blocks") > 0).alias("_code"), (F.col("content") == "").alias("_blank"), similarities_of("content").alias("_sims"))
+    long = turns.groupBy("transcript_id").agg(F.min("_block").alias("a"), F.max("_block").alias("b")).where("a < b").select("transcript_id")
+    ends = _in_order(x.join(long, "transcript_id", "left_semi")).mapInPandas(_compose, "transcript_id long, _block long, _ends array<string>")
     states = F.array(*map(F.lit, PHASES))
     chain = ends.groupBy("transcript_id").agg(F.sort_array(F.collect_list(F.struct("_block", "_ends"))).alias("bs"))
     # One small row per block; the running state is read off the composed functions.
@@ -147,7 +147,8 @@ def label_phases(turns: DataFrame, enabled: bool = True) -> DataFrame:
         lambda acc, b: F.struct(F.element_at(b["_ends"], F.array_position(states, acc["state"]).cast("int")).alias("state"), F.array_append(acc["starts"], acc["state"]).alias("starts")),
     )
     starts = chain.select("transcript_id", F.explode(F.arrays_zip(F.col("bs._block").alias("_block"), run.getField("starts").alias("_start"))).alias("z")).select("transcript_id", "z._block", "z._start")
-    return x.join(starts, ["transcript_id", "_block"]).groupBy("transcript_id", "_block").applyInPandas(_relabel, "transcript_id long, turn_idx long, phase string")
+    started = x.join(starts, ["transcript_id", "_block"], "left").withColumn("_start", F.coalesce("_start", F.lit("discussion")))
+    return _in_order(started).mapInPandas(_relabel, "transcript_id long, turn_idx long, phase string")
 
 
 def timeline(labelled: DataFrame) -> DataFrame:
