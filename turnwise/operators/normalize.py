@@ -80,6 +80,15 @@ def is_code_turn(blocks: Column, text: Column) -> Column:
     return (F.size(blocks) > 0) | ((F.size(lines) >= 2) & _marked(lines))
 
 
+def unfiltered(df: DataFrame) -> DataFrame:
+    """A border no filter is pushed across.
+
+    Catalyst would else copy the costly expressions below into each filter above them.  It moves no
+    filter past a projection with a non-deterministic column, here a row number nobody reads.
+    """
+    return df.withColumn("_n", F.monotonically_increasing_id())
+
+
 def normalize_turns(turns: DataFrame, strip_sensitive: bool = False, keep_system: bool = False, token: str = "[REDACTED]") -> DataFrame:
     """(transcript_id, turn_idx, pos, _block, speaker, content, blocks, stored_phase) of a turn table.
 
@@ -92,8 +101,9 @@ def normalize_turns(turns: DataFrame, strip_sensitive: bool = False, keep_system
     x = x.withColumns({"speaker": normal_speaker(F.col("speaker")), "content": redact(content, token) if strip_sensitive else content})
     stored = F.filter("code_blocks", lambda b: F.coalesce(b["code"], F.lit("")) != "")
     stored = F.transform(stored, lambda b: F.struct(b["code"].alias("code"), F.nullif(F.lower(b["language"]), F.lit("")).alias("language")))
-    x = x.withColumn("blocks", F.when(F.size(stored) > 0, stored).otherwise(code_blocks(F.col("content")))).drop("code_blocks")
+    x = x.withColumn("blocks", F.when(F.size("code_blocks") > 0, stored).otherwise(code_blocks(F.col("content")))).drop("code_blocks")
+    x = unfiltered(x)
     if not keep_system:
         x = x.where("speaker <> 'System'")
     x = x.where("content <> '' OR size(blocks) > 0")
-    return with_position(with_block(x, "turn_idx"), "transcript_id", "turn_idx")
+    return with_position(with_block(x.drop("_n"), "turn_idx"), "transcript_id", "turn_idx")

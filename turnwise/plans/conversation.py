@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from turnwise.functions.text import half_even
 from turnwise.operators import metrics as M
 from turnwise.operators.codeintel import LINE_RISKS, line_risks, secret_count
-from turnwise.operators.normalize import SENSITIVE, SPEAKERS, normal_content, normal_speaker, normalize_turns, redact
+from turnwise.operators.normalize import SENSITIVE, SPEAKERS, normal_content, normal_speaker, normalize_turns, redact, unfiltered
 from turnwise.operators.phases import PHASES, label_phases, timeline
 from turnwise.operators.scoring import portfolio_summary, score_rows
 from turnwise.operators.segment import segment_text
 from turnwise.operators.sequence import next_row, with_block, with_position
 from turnwise.plans.evaluate import evaluate
+from turnwise.session import ensure_checkpoint_dir
 from turnwise.sources.tables import table
 
 KEY = "transcript_id"
@@ -21,8 +22,8 @@ KEY = "transcript_id"
 def _base(spark: SparkSession, base: str) -> DataFrame:
     """Turns delivered once, normal speakers and content, without system and blank turns."""
     x = table(spark, base, "turns").where("transcript_id IS NOT NULL AND turn_idx IS NOT NULL").select(KEY, "turn_idx", "speaker", "content", "phase").dropDuplicates([KEY, "turn_idx"])
-    x = x.withColumns({"speaker": normal_speaker(F.col("speaker")), "content": normal_content(F.col("content"))}).where("speaker <> 'System' AND content <> ''")
-    return with_position(with_block(x, "turn_idx"), KEY, "turn_idx")
+    x = unfiltered(x.withColumns({"speaker": normal_speaker(F.col("speaker")), "content": normal_content(F.col("content"))})).where("speaker <> 'System' AND content <> ''")
+    return with_position(with_block(x.drop("_n"), "turn_idx"), KEY, "turn_idx")
 
 
 def _facts(spark: SparkSession, base: str) -> DataFrame:
@@ -106,7 +107,9 @@ def segmented_documents(spark, base):
 
 
 def phase_labels(spark, base):
-    return label_phases(normalize_turns(table(spark, base, "turns")))
+    # The labels read the turns three times, so they are written once.
+    ensure_checkpoint_dir(spark)
+    return label_phases(normalize_turns(table(spark, base, "turns")).select(KEY, "turn_idx", "_block", "speaker", "content", "blocks").checkpoint())
 
 
 def phase_timelines(spark, base):
