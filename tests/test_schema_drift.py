@@ -1,7 +1,7 @@
 import json
 from datetime import datetime
 
-from turnwise.operators.schema_drift import canonical, find_changes, flood, predecessors, unified_records
+from turnwise.operators.schema_drift import cast_value, canonical, chained, families, field_origins, find_changes, flood, predecessors, renamed_on, unified_records
 
 FILES = "file_id long, feed_id long, path string, exported_at timestamp, ingested_at timestamp, n_lines int"
 LINES = "file_id long, line_no int, raw string"
@@ -58,3 +58,41 @@ def test_unified(spark):
     ls = lines(spark, {1: [{"id": 5, "role": "User", "text": {"text": "hi"}, "created_at": 12, "x": [1]}, "bad"]})
     (r,) = unified_records(files(spark, [(1, 7, datetime(2025, 1, 1))]), ls.union(ls)).collect()
     assert (r.feed_id, r.message_id, r.sent_at, r.speaker, r.content, r.rest) == (7, "5", "12", "User", "hi", '{"x": [1]}')
+
+
+def test_unified_follows_the_renames(spark):
+    day = lambda d: datetime(2025, d, 1)
+    fs = files(spark, [(1, 7, day(1)), (2, 7, day(3)), (3, 7, day(5)), (4, 8, day(1))])
+    ls = lines(
+        spark,
+        {
+            1: [{"id": "a", "content": "One", "author": {"name": "User", "kind": "person"}, "lang": "en", "score": 4, "tags": ["x", "y"], "edited": True}, {"id": "b", "content": "Two", "lang": "de", "score": 2.5, "tags": None, "edited": False}],
+            2: [{"id": "b", "blurb": {"text": "Two"}, "locale": "de", "rating": "2.5", "tags": None, "edited": 0, "text": "else"}],
+            3: [{"id": "b", "blurb": "Two", "language": "de", "rating": "2.5", "tags": "z", "edited": "false"}, {"id": "c", "blurb": "Three", "language": "fr", "rating": "n/a", "tags": "x,y", "edited": "true"}],
+            4: [{"id": "d", "content": "Four", "msg": "Other", "language": "es"}],
+        },
+    )
+    got = {(r.file_id, r.line_no): r.asDict() for r in unified_records(fs, ls.union(ls), share=0.8).collect()}
+    told = {k: (v["content"], v["speaker"], v["language"], v["rating"], v["tags"], v["edited"]) for k, v in got.items()}
+    assert told == {
+        (1, 0): ("One", "User", "en", 4.0, "x,y", True), (1, 1): ("Two", None, "de", 2.5, None, False), (2, 0): ("Two", None, "de", 2.5, None, False),
+        (3, 0): ("Two", None, "de", 2.5, "z", False), (3, 1): ("Three", None, "fr", None, "x,y", True), (4, 0): ("Four", None, "es", None, None, None),
+    }
+    rest = {k: json.loads(v["rest"]) for k, v in got.items()}
+    assert rest == {(1, 0): {"author": {"name": "User", "kind": "person"}}, (1, 1): {}, (2, 0): {"text": "else"}, (3, 0): {}, (3, 1): {"rating": "n/a"}, (4, 0): {"msg": "Other"}}
+
+
+def test_origins_are_chained_over_spans(spark):
+    rows = [(i, 7, datetime(2025, 1 + i, 1)) for i in range(1, 7)]
+    steps = [(2, "a", "b"), (3, "c", "a"), (4, "b", "d"), (4, "a", "b"), (6, "d", "a")]
+    moves = spark.createDataFrame(steps, "file_id long, old_field string, new_field string")
+    got = {r.file_id: {x["name"]: x["origin"] for x in r.origins} for r in field_origins(files(spark, rows), moves).collect()}
+    assert got == {1: {}, 2: {"b": "a"}, 3: {"b": "a", "a": "c"}, 4: {"d": "a", "b": "c"}, 5: {"d": "a", "b": "c"}, 6: {"b": "c"}}
+    one = renamed_on(renamed_on({}, [("a", "b")]), [("b", "c")])
+    assert chained(renamed_on({}, [("z", "a")]), one)["c"] == "z"
+
+
+def test_names_of_two_meanings_are_not_joined():
+    got = families({("lang", "locale"): 9, ("score", "value"): 1, ("blurb", "text"): 2}, {"lang": 5, "locale": 3, "score": 4, "value": 6, "text": 9}, {("score", "text"): 4})
+    assert got["locale"] == got["lang"] == "lang" and got["score"] == "score" and got["value"] == got["blurb"] == "content"
+    assert cast_value("7", "bigint", False) == ("7", True) and cast_value("7.5", "bigint", False)[0] is None and cast_value({"id": "m"}, "string", False) == ("m", True)

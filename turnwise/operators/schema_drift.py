@@ -15,9 +15,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-#: The meaning of record fields in the unified table: target -> names and nested paths read for it, in order.
+from turnwise.session import ensure_checkpoint_dir
+
+#: Names known for the fixed columns of the unified table, in order; renames found in the feeds add to them.
 UNIFIED_FIELDS = {
     "message_id": ["id"],
     "sent_at": ["timestamp", "time", "created_at", "datetime", "sent_at", "ts"],
@@ -125,6 +127,13 @@ def field_values(lines: DataFrame) -> DataFrame:
     return x.select("file_id", "id", F.col("f.name").alias("field"), F.col("f.kind").alias("kind"), F.when(F.col("f.value").isNotNull(), F.xxhash64("f.value")).alias("value"), F.col("f.nested").alias("nested"))
 
 
+def _placed(files: DataFrame, span_days: int) -> DataFrame:
+    """(file_id, exported_at, feed_id, span): each file once, with its feed's time span."""
+    f = files.select("file_id", "feed_id", "exported_at").where("file_id IS NOT NULL AND feed_id IS NOT NULL AND exported_at IS NOT NULL")
+    f = f.groupBy("file_id").agg(F.min(F.struct("exported_at", "feed_id")).alias("m")).select("file_id", "m.*")
+    return f.withColumn("span", F.expr(f"unix_date(to_date(exported_at)) div {span_days}"))
+
+
 def predecessors(files: DataFrame, span_days: int = 30) -> DataFrame:
     """(feed_id, file_id, prev_id): each file with the one before it in its feed by exported_at (then file_id).
 
@@ -132,9 +141,7 @@ def predecessors(files: DataFrame, span_days: int = 30) -> DataFrame:
     within a feed's time spans, and only one row per span is ordered over the feed.  Files without
     feed or export time have no place in the order and no predecessor.
     """
-    f = files.select("file_id", "feed_id", "exported_at").where("file_id IS NOT NULL AND feed_id IS NOT NULL AND exported_at IS NOT NULL")
-    f = f.groupBy("file_id").agg(F.min(F.struct("exported_at", "feed_id")).alias("m")).select("file_id", "m.*")
-    f = f.withColumn("span", F.expr(f"unix_date(to_date(exported_at)) div {span_days}"))
+    f = _placed(files, span_days)
     inner = Window.partitionBy("feed_id", "span").orderBy("exported_at", "file_id")
     within = f.withColumn("prev_in", F.lag("file_id").over(inner))
     last = f.groupBy("feed_id", "span").agg(F.max(F.struct("exported_at", "file_id")).alias("m"))
@@ -260,39 +267,258 @@ def find_changes(files: DataFrame, lines: DataFrame) -> DataFrame:
     return settled.unionByName(retyped.select("file_id", "change_kind", "old_field", "new_field")).distinct()
 
 
-@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("message_id", "sent_at", "speaker", "content", "rest")]))
-def unify_record(raw: pd.Series) -> pd.DataFrame:
-    out = []
-    for text in raw:
-        record = _parse(text)
-        if record is None:
-            out.append([None] * 5)
+# --- one table ------------------------------------------------------------------------------------
+
+_CORE = {n: (target, i) for target, names in UNIFIED_FIELDS.items() for i, n in enumerate(names)}
+#: Keys that hold the value itself where a value is wrapped in an object.
+_MAIN_KEYS = ("text", "value", "content", "name", "id")
+_KIND_BITS = {None: 0, "string": 1, "number": 2, "boolean": 4, "array": 8, "object": 16}
+_ORIGINS = "array<struct<name:string,origin:string>>"
+
+
+def renamed_on(origins: dict[str, str | None], moves: list[tuple[str, str]]) -> dict[str, str | None]:
+    """The name that each present name goes back to, after one file's renames; None: the name was given up."""
+    was = {old: (origins.get(old, old) or old) for old, _ in moves}
+    return origins | {old: None for old, _ in moves} | {new: was[old] for old, new in moves}
+
+
+def chained(before: dict[str, str | None], block: dict[str, str | None]) -> dict[str, str | None]:
+    """``block``, which starts from the names at its border, applied to what went before the border."""
+    return before | {name: origin and (before.get(origin, origin) or origin) for name, origin in block.items()}
+
+
+def _pairs(origins: dict[str, str | None]) -> list[dict]:
+    return [{"name": n, "origin": o} for n, o in sorted(origins.items())]
+
+
+def _read_pairs(pairs) -> dict[str, str | None]:
+    return {x["name"]: x["origin"] for x in pairs} if pairs is not None else {}
+
+
+def _moves(pairs) -> list[tuple[str, str]]:
+    return [(x["old_field"], x["new_field"]) for x in pairs] if pairs is not None else []
+
+
+def field_origins(files: DataFrame, renames: DataFrame, span_days: int = 30) -> DataFrame:
+    """(file_id, origins): for the renamed fields of each file the name they had first in their feed.
+
+    The chain is sequential along a feed; as in ``predecessors`` it runs within time spans, whose
+    compositions (one row per span) are then chained over the feed.
+    """
+    moves = renames.groupBy("file_id").agg(F.collect_list(F.struct("old_field", "new_field")).alias("moves"))
+    f = _placed(files, span_days).join(moves, "file_id", "left").select("feed_id", "span", "exported_at", "file_id", "moves")
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        origins: dict = {}
+        for moves in pdf.sort_values(["exported_at", "file_id"])["moves"]:
+            origins = renamed_on(origins, _moves(moves))
+        return pd.DataFrame({"feed_id": pdf["feed_id"].iloc[:1].tolist(), "span": pdf["span"].iloc[:1].tolist(), "origins": [_pairs(origins)]})
+
+    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+        origins, rows = {}, []
+        for feed_id, span, block in pdf.sort_values("span")[["feed_id", "span", "origins"]].itertuples(index=False):
+            rows.append((feed_id, span, _pairs(origins)))
+            origins = chained(origins, _read_pairs(block))
+        return pd.DataFrame(rows, columns=["feed_id", "span", "entry"])
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        origins, rows = _read_pairs(pdf["entry"].iloc[0]), []
+        for file_id, moves in pdf.sort_values(["exported_at", "file_id"])[["file_id", "moves"]].itertuples(index=False):
+            origins = renamed_on(origins, _moves(moves))
+            rows.append((file_id, _pairs({n: o for n, o in origins.items() if o is not None and o != n})))
+        return pd.DataFrame(rows, columns=["file_id", "origins"])
+
+    blocks = f.groupBy("feed_id", "span").applyInPandas(compose, f"feed_id long, span long, origins {_ORIGINS}")
+    entries = blocks.groupBy("feed_id").applyInPandas(carry, f"feed_id long, span long, entry {_ORIGINS}")
+    return f.join(entries, ["feed_id", "span"]).groupBy("feed_id", "span").applyInPandas(replay, f"file_id long, origins {_ORIGINS}")
+
+
+def cast_leaf(leaf, kind: str) -> str | None:
+    """The text of a scalar as boolean, bigint or double; None if it is none."""
+    text = str(leaf).strip().lower()
+    if kind == "boolean":
+        return {"true": "true", "false": "false", "1": "true", "0": "false", "1.0": "true", "0.0": "false"}.get(text)
+    if isinstance(leaf, bool):
+        return None
+    if re.fullmatch(r"[+-]?[0-9]{1,18}(?:\.0+)?", text):
+        whole = int(text.partition(".")[0])
+        return str(whole) if kind == "bigint" or abs(whole) <= 2**53 else None
+    if kind == "bigint" or not re.fullmatch(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?", text):
+        return None
+    number = float(text)
+    return repr(number) if math.isfinite(number) and not re.fullmatch(r"[+-]?[0-9]+", text) else None
+
+
+def unwrap(value) -> tuple[list, bool]:
+    """The scalars that a wrapped value stands for, and whether they are all it holds."""
+    if isinstance(value, dict):
+        for k in _MAIN_KEYS:
+            if value.get(k) is not None:
+                leaves, whole = unwrap(value[k])
+                return leaves, whole and len(value) == 1
+        return list(_leaves(value)), not value
+    if isinstance(value, list):
+        parts = [unwrap(v) for v in value]
+        return [x for leaves, _ in parts for x in leaves], all(whole for _, whole in parts)
+    return ([] if value is None else [value]), True
+
+
+def cast_value(value, kind: str, fixed: bool) -> tuple[str | None, bool]:
+    """(text, whole): the value as ``kind``; whole if nothing of it is lost in that text.
+
+    Texts of several scalars are joined by commas if they stood in a plain list, as separated lists
+    are written, else (and in the fixed columns) by line breaks.
+    """
+    leaves, whole = unwrap(value)
+    if kind != "string":
+        return (cast_leaf(leaves[0], kind), whole) if len(leaves) == 1 else (None, False)
+    plain = isinstance(value, list) and not any(isinstance(v, (dict, list)) for v in value)
+    texts = [json.dumps(x) if isinstance(x, bool) and not fixed else str(x) for x in leaves]
+    if plain and not fixed:
+        return ",".join(texts), whole and not any("," in t for t in texts) and None not in value
+    return "\n".join(texts), whole
+
+
+_SEEN = "file_id long, field string, kinds int, n long, n_boolean long, n_bigint long, n_double long"
+
+
+def _see(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        seen: dict = {}
+        for file_id, text in zip(pdf["file_id"], pdf["raw"]):
+            for name, value in (_parse(text) or {}).items():
+                c = seen.setdefault((file_id, name), [0] * 5)
+                c[0] |= _KIND_BITS[json_kind(value)]
+                if value is not None:
+                    c[1] += 1
+                    for i, kind in enumerate(("boolean", "bigint", "double"), 2):
+                        c[i] += cast_value(value, kind, False)[0] is not None
+        yield pd.DataFrame([(*k, *c) for k, c in seen.items()], columns=["file_id", "field", "kinds", "n", "n_boolean", "n_bigint", "n_double"])
+
+
+def families(renames: dict[tuple[str, str], int], files_with: dict[str, int], together: dict[tuple[str, str], int]) -> dict[str, str]:
+    """One name for all names of a field over all feeds: name -> fixed column or the field's commonest name.
+
+    Renames join names, best borne out first.  A rename that would join names which stand side by
+    side in as many files as it was found in, or two fixed columns, joins nothing: such a name has
+    another meaning elsewhere.
+    """
+    names = {n for pair in renames for n in pair} | set(files_with)
+    group = {n: {n} for n in names}
+    fixed = {target: {n for n in names if _CORE.get(n.lower(), ("",))[0] == target} for target in UNIFIED_FIELDS}
+    for members in fixed.values():
+        group |= {n: members for n in members}
+    target_of = lambda g: next((t for t, m in fixed.items() if m is g), None)
+    for (a, b), found in sorted(renames.items(), key=lambda x: (-x[1], x[0])):
+        x, y = group[a], group[b]
+        if x is y:
+            continue
+        if target_of(y):
+            x, y = y, x
+        if target_of(y) or any(together.get((min(p, q), max(p, q)), 0) >= found for p in x for q in y):
             continue
-        lowered: dict = {}
-        for k, v in record.items():
-            if lowered.get(k.lower()) is None:
-                lowered[k.lower()] = v
-        row, taken = [], set()
-        for names in UNIFIED_FIELDS.values():
-            value = None
-            for n in names:
-                if n in lowered:
-                    taken.add(n)
-                    if value is None and lowered[n] is not None:
-                        value = "\n".join(str(x) for x in _leaves(lowered[n]))
-            row.append(value)
-        row.append(json.dumps({k: v for k, v in record.items() if k.lower() not in taken}, ensure_ascii=False, sort_keys=True))
-        out.append(row)
-    return pd.DataFrame(out, columns=["message_id", "sent_at", "speaker", "content", "rest"])
-
-
-def unified_records(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """All readable records in one table: (file_id, feed_id, line_no, message_id, sent_at, speaker, content, rest).
-
-    Values are cast to string, wrapped texts are unwrapped; fields without a place in the table are
-    kept as JSON in ``rest``.  Repeated lines and files count once.
+        x |= y
+        group |= {n: x for n in y}
+    return {n: target_of(g) or min(g, key=lambda m: (-files_with.get(m, 0), m)) for n, g in group.items()}
+
+
+def unify_with(family: dict[str, str], kinds: dict[str, str]):
+    """The function that reads a record into the fixed columns, the drifting fields by target, and the rest."""
+    fixed = list(UNIFIED_FIELDS)
+
+    @F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in (*fixed, "rest")] + [T.StructField("fields", T.MapType(T.StringType(), T.StringType()))]))
+    def unify_record(raw: pd.Series, origins: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, pairs in zip(raw, origins):
+            record = _parse(text)
+            if record is None:
+                out.append([None] * (len(fixed) + 2))
+                continue
+            known = _read_pairs(pairs)
+            sources: dict[str, list] = {}
+            for k in record:
+                first = known.get(k, k)
+                target = family.get(first) or _CORE.get(first.lower(), (None,))[0]
+                if target in kinds or target in UNIFIED_FIELDS:
+                    sources.setdefault(target, []).append((k not in known, _CORE.get(k.lower(), ("", 99))[1], len(sources), k))
+            told, gone = {}, set()
+            for target, names in sources.items():
+                used = None
+                for *_, k in sorted(names):
+                    value = record[k]
+                    if value is None:
+                        gone.add(k)
+                    elif used is None:
+                        cast, whole = cast_value(value, kinds.get(target, "string"), target in UNIFIED_FIELDS)
+                        if cast is not None:
+                            told[target], used = cast, value
+                            if whole:
+                                gone.add(k)
+                    elif value == used and type(value) is type(used):
+                        gone.add(k)
+            rest = json.dumps({k: v for k, v in record.items() if k not in gone}, ensure_ascii=False, sort_keys=True)
+            out.append([*(told.get(t) for t in fixed), rest, {t: v for t, v in told.items() if t in kinds}])
+        return pd.DataFrame(out, columns=[*fixed, "rest", "fields"])
+
+    return unify_record
+
+
+def _column_names(targets: list[str], taken: set[str]) -> dict[str, str]:
+    """A column name for each target, distinct from all others disregarding case."""
+    out: dict[str, str] = {}
+    for t in targets:
+        name = plain = re.sub(r"\W", "_", t) or "field"
+        n = 1
+        while name.lower() in taken:
+            name, n = f"{plain}_{n + 1}", n + 1
+        taken.add(name.lower())
+        out[t] = name
+    return out
+
+
+def unified_records(files: DataFrame, lines: DataFrame, share: float = 0.95) -> DataFrame:
+    """All readable records in one table: (file_id, feed_id, line_no, message_id, sent_at, speaker, content, rest) and
+    one typed column for each other field that drifts.
+
+    The renames found along each feed lead every name back to the first of its feed, and over all
+    feeds to one name per field.  A field drifts if it is renamed or has several JSON types anywhere;
+    its column is boolean, bigint or double if such values occur and ``share`` of all values can be
+    read so, else string.  Values are coalesced, unwrapped and cast.  ``rest`` keeps as JSON, under
+    the record's own names, the fields that never drift and every value that a column does not hold
+    whole.  Repeated lines and files count once.
+    Changes and field statistics are written once to the checkpoint folder; the driver gets one row
+    per drifting name, pair of names renamed, or pair of such names that share a file.
     """
+    ensure_checkpoint_dir(lines.sparkSession)
     once = lines.select("file_id", "line_no", "raw").where("raw IS NOT NULL").distinct()
+    renames = find_changes(files, lines).where("change_kind = 'renamed'").select("file_id", "old_field", "new_field").checkpoint()
+    seen = lines.where("raw IS NOT NULL").select("file_id", "raw").mapInPandas(_see, _SEEN)
+    sums = [F.sum(c).alias(c) for c in ("n", "n_boolean", "n_bigint", "n_double")]
+    seen = seen.groupBy("file_id", "field").agg(F.bit_or("kinds").alias("kinds"), *sums).checkpoint()
+
+    edges = {(r.old_field, r.new_field): r["count"] for r in renames.groupBy("old_field", "new_field").count().collect()}
+    named = renames.select(F.explode(F.array("old_field", "new_field")).alias("field")).distinct()
+    core: Column = F.lower("field").isin(*_CORE)
+    per_name = seen.groupBy("field").agg(F.count("*").alias("files"), F.bit_or("kinds").alias("kinds"), *sums)
+    stats = {r.field: r for r in per_name.join(named.withColumn("renamed", F.lit(True)), "field", "left").where(core | F.col("renamed") | (F.bit_count("kinds") > 1)).collect()}
+    in_file = seen.select("file_id", "field").join(named.unionByName(seen.select("field").where(core)).distinct(), "field")
+    pairs = in_file.withColumnRenamed("field", "a").join(in_file.withColumnRenamed("field", "b"), "file_id").where("a < b")
+    together = {(r.a, r.b): r["count"] for r in pairs.groupBy("a", "b").count().collect()} if edges else {}
+
+    family = families(edges, {n: r.files for n, r in stats.items()}, together)
+    kinds: dict[str, str] = {}
+    for target in sorted(set(family.values()) - set(UNIFIED_FIELDS)):
+        rows = [stats[n] for n, t in family.items() if t == target and n in stats]
+        bits, n = 0, sum(r.n for r in rows)
+        for r in rows:
+            bits |= r.kinds
+        can = lambda c: sum(r[c] for r in rows) >= share * n  # noqa: B023, E731
+        whole = sum(r.n_bigint for r in rows) == sum(r.n_double for r in rows)
+        kinds[target] = "boolean" if bits & 4 and can("n_boolean") else "bigint" if bits & 2 and whole and can("n_bigint") else "double" if bits & 2 and can("n_double") else "string"
+
     feeds = files.select("file_id", "feed_id").where("file_id IS NOT NULL").dropDuplicates(["file_id"])
-    x = once.select("file_id", "line_no", unify_record("raw").alias("u")).where("u.rest IS NOT NULL")
-    return x.join(feeds, "file_id", "left").select("file_id", "feed_id", "line_no", "u.message_id", "u.sent_at", "u.speaker", "u.content", "u.rest")
+    feeds = feeds.join(field_origins(files, renames), "file_id", "left")
+    x = once.join(feeds, "file_id", "left").select("file_id", "feed_id", "line_no", unify_with(family, kinds)("raw", "origins").alias("u")).where("u.rest IS NOT NULL")
+    columns = ["file_id", "feed_id", "line_no", *UNIFIED_FIELDS, "rest"]
+    typed = [F.col("u.fields")[t].try_cast(kinds[t]).alias(name) for t, name in _column_names(list(kinds), set(columns)).items()]
+    return x.select("file_id", "feed_id", "line_no", *(f"u.{c}" for c in (*UNIFIED_FIELDS, "rest")), *typed)
