@@ -41,3 +41,9 @@ def test_query(spark, make_turns):
     t = make_turns([(1, 0, "User", "hi there my friend"), (1, 1, "Tool", "x"), (1, 2, "AI", None), (1, 2, "AI", None), (1, 3, "AI", "more")])
     assert [tuple(r) for r in find_defects(t).collect()] == [(1, 2, "empty")]
     assert find_defects(t.limit(0)).count() == 0
+
+
+def test_inline_code_ends_no_sentence():
+    q = "Why does `load()` raise an error when the list is empty?"
+    assert [defect(q, a) for a in ("The BufferReader owns the snapshot, and `route_session()`", "It was unused.\n\nI moved the check into `publish_queue()`")] == ["truncated"] * 2
+    assert [defect(q, a) for a in ("`O(n log n)`", "`load()`, `store()`", "It needs this call:\n`load(None)`", "I moved the check into `load()`.", "It prints `No rows.`")] == [None] * 5

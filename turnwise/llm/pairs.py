@@ -218,7 +218,8 @@ def is_empty(response: str | None) -> bool:
 def is_truncated(response: str) -> bool:
     """True if the text stops inside a sentence or an open code block.
 
-    Lists, headings before code, code alone and code marks are complete without a full stop.
+    Lists, headings before code, code alone and code marks are complete without a full stop; inline
+    code at the end of running text is a part of its sentence.
     """
     fence = None
     if "```" in response or "~~~" in response:
@@ -242,9 +243,9 @@ def is_truncated(response: str) -> bool:
         return False
     if text.count("`") % 2 and "```" not in text:
         return True
-    if text.endswith("`"):  # closed inline code
+    if text.endswith("`") and not _WORD.search(_INLINE.sub(" ", last)):  # inline code alone
         return False
-    if last.rstrip("'\")]*_”’»").endswith((".", "!", "?", "。")):
+    if last.rstrip("'\")]*_”’»`").endswith((".", "!", "?", "。")):
         return False
     if last.endswith((",", ";", "(", "[", "{", "–", "—", "-", ":", "=", "+")):
         return True
