@@ -72,3 +72,14 @@ def test_queries(spark, make_turns):
     clean = redact_turns(t)
     assert clean.count() == 5 and find_credentials(clean).count() == 0 and clean.columns == t.columns
     assert find_credentials(t.limit(0)).count() == 0
+
+
+def test_values_without_digits():
+    found = lambda t: [t[a:b] for a, b, _ in find_secrets(t)]
+    for text, want in [
+        ("HOST=db\nACCESS_TOKEN=eYffyGkotBTPSzHQJOKuwG\nPORT=1", "eYffyGkotBTPSzHQJOKuwG"), ("export DB_PASSWORD=SunnyHarbor", "SunnyHarbor"), ("  - SMTP_PASS=willow-harbor-meadow\r\n", "willow-harbor-meadow"),
+        ("[db]\npassword = eYffyGkotBTPSzHQJOKuwG", "eYffyGkotBTPSzHQJOKuwG"),
+    ]:
+        assert found(text) == [want] and QUERY.holds(text) and redact(text) == text.replace(want, "REDACTED_CREDENTIAL"), text
+    for text in ("API_TOKEN=config.accessToken", "API_TOKEN=DefaultToken", "DB_PASSWORD=changeme", "DB_PASSWORD=put-your-own-word-here", "TOKEN=$ACCESS", "token = resolveSessionForRequest", "    token=currentSession.header", "The token is eYffyGkotBTPSzHQJOKuwG", "SECRET=required", "next_token = await publish({ limit: 24 });"):
+        assert found(text) == [], text

@@ -18,6 +18,10 @@ _NAME = r"(?:password|passwd|passphrase|passcode|passwort|kennwort|contrase[nñ]
 #: What may follow the name in its own identifier or markup before the value starts.
 _TO = r"(?:[\"'`]?\]?\s*(?::\s*(?:str|string)\s*)?(?:=>|:=|=|:)\s*)"
 
+#: Names of variables in lines of an environment, and the value that makes up the rest of the line.
+_ENV_NAME = r"(?:PASSWORD|PASSWD|PASSPHRASE|PASSCODE|PASSWORT|KENNWORT|SECRET|TOKEN|API_?KEY|ACCESS_?KEY|SIGNING_?KEY|SERVICE_?KEY|SECRET_?KEY|ACCOUNT_?KEY|PRIVATE_?KEY|AUTH_?KEY|PWD|_PASS|_PW)"
+_LINE_VALUE = r"(?P<s>[^\s\"'`,;<>()\[\]{}0-9]{8,})[ \t\r]*$"
+
 #: Fixed shapes of issued tokens, recognised without any context.
 RULES: dict[str, str] = {
     "access_key_id": r"(?<![A-Za-z0-9])(?P<s>(?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])",
@@ -28,6 +32,8 @@ RULES: dict[str, str] = {
     "private_key": r"(?s)(?P<s>-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----.+?-----END (?:[A-Z]+ )*PRIVATE KEY-----)",
     "quoted_assignment": r"(?i)" + _NAME + _TO + r"(?P<q>[\"'`])(?P<s>[^\"'`\s]+)(?P=q)",
     "bare_assignment": r"(?im)" + _NAME + r"(?:=|:[ \t]+|[ \t]+=[ \t]+|[ \t]+(?=[^\s:=]+[ \t]*$))(?P<s>(?=[^\s\"'`]*[0-9])[^\s\"'`,;<>()\[\]{}]+)(?=$|[\s;,\"'`<&])",
+    "env_line": r"(?m)^[ \t]*(?:(?:export|set|ENV|ARG|-e|-)[ \t]+)?[A-Z0-9_]*" + _ENV_NAME + "=" + _LINE_VALUE,
+    "ini_line": r"(?im)^[ \t]*(?:export[ \t]+)?[a-z0-9_.-]*" + _NAME + r"[ \t]*=[ \t]*" + _LINE_VALUE,
     "default_value": r"(?i)(?:getenv|environ\.get|env\.get|env)\(\s*[\"'][^\"']*" + _NAME + r"[\"']\s*,\s*[\"'](?P<s>[^\"'\s]+)[\"']",
     "markup": r"(?i)<(?:[a-z0-9]+[_.:-])*(?:password|passwd|passphrase|passcode|secret|token|api-?key|pwd|pass|pw)>(?P<s>[^<>\s]+)</",
     "authorization": r"(?i)(?:bearer|authorization[\"']?\s*[:=]\s*[\"']?(?:basic|token|bearer))\s+(?P<s>[A-Za-z0-9+/=._~-]{8,})",
@@ -50,6 +56,24 @@ _PLACEHOLDER = re.compile(
 _REFERENCE = re.compile(r"[$<>{}\[\]()]|^%|%$|^env[.:]|^vault[.:/]|^secret[s]?[/:]|os\.|process\.|environ")
 _PATHLIKE = re.compile(r"^(?:\.{0,2}/)?(?:[A-Za-z_.-]+/)+[A-Za-z_.-]+$")
 _TRAILING = ".,;:"
+#: Words in a value without digits that tell it from a credential.
+_SPOKEN_OF = re.compile(r"(?i)your|example|sample|dummy|placeholder|replace|change|insert|value|generated|from|token|secret|passw|passphrase|key|redacted|credential")
+_HUMP = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
+
+def _is_plain_secret(value: str, rule: str) -> bool:
+    """Whether a value without digits, the rest of a ``NAME=value`` line, is a literal and no identifier or reference.
+
+    In lines of an environment a value of mixed case, or a long one that is no identifier, is a literal;
+    in other lines, which may be code, only one whose capitals fall as by chance.
+    """
+    if _SPOKEN_OF.search(value) or re.fullmatch(r"(?:[A-Za-z_]\w*(?:\.|->|::))+[A-Za-z_]\w*", value):
+        return False
+    mixed = value.upper() != value != value.lower()
+    if rule == "env_line":
+        return mixed or len(value) >= 16 and not value.isidentifier()
+    humps = _HUMP.findall(value)
+    return mixed and len(value) >= 16 and sum(map(len, humps)) < 3 * len(humps)
 
 
 def is_credential(value: str, rule: str) -> bool:
@@ -66,11 +90,11 @@ def is_credential(value: str, rule: str) -> bool:
         return False
     if re.search(r"^[$%][A-Za-z_{(]|\$\{|\{\{|^\{.*\}$|^<|\(\)|\w\(", value):
         return False
-    if rule in ("bare_assignment", "url_login", "command_login") and _REFERENCE.search(value.rstrip("$")):
+    if rule in ("bare_assignment", "env_line", "ini_line", "url_login", "command_login") and _REFERENCE.search(value.rstrip("$")):
         return False
     if rule == "bare_assignment" and re.fullmatch(r"[\d.]+|(?:[A-Za-z_]\w*\.)+[A-Za-z_]\w*", value):
         return False
-    return True
+    return rule not in ("env_line", "ini_line") or _is_plain_secret(value, rule)
 
 
 #: Rules that ignore case run over the lower-case text without the flag, which lets the engine skip by first letters.
