@@ -1,7 +1,7 @@
 import json
 from datetime import datetime
 
-from turnwise.operators.schema_drift import cast_value, canonical, chained, families, field_origins, find_changes, flood, predecessors, renamed_on, unified_records
+from turnwise.operators.schema_drift import cast_value, canonical, chained, correspondences, families, field_origins, find_changes, flood, predecessors, renamed_on, unified_records
 
 FILES = "file_id long, feed_id long, path string, exported_at timestamp, ingested_at timestamp, n_lines int"
 LINES = "file_id long, line_no int, raw string"
@@ -96,3 +96,11 @@ def test_names_of_two_meanings_are_not_joined():
     got = families({("lang", "locale"): 9, ("score", "value"): 1, ("blurb", "text"): 2}, {"lang": 5, "locale": 3, "score": 4, "value": 6, "text": 9}, {("score", "text"): 4})
     assert got["locale"] == got["lang"] == "lang" and got["score"] == "score" and got["value"] == got["blurb"] == "content"
     assert cast_value("7", "bigint", False) == ("7", True) and cast_value("7.5", "bigint", False)[0] is None and cast_value({"id": "m"}, "string", False) == ("m", True)
+
+
+def test_a_chance_agreement_takes_no_rename():
+    side = lambda **n: [{"field": x, "kinds": [k], "nested": []} for x, k in n.items()]
+    told = {("edited", "rating"): (1, 1), ("score", "rating"): (9, 10)}
+    assert correspondences(side(edited="boolean", score="number"), side(rating="number"), told) == [("score", "rating")]
+    assert correspondences(side(edited="boolean", score="number"), side(rating="boolean"), told) == [("score", "rating")]
+    assert correspondences(side(edited="boolean"), side(rating="number"), {("edited", "rating"): (2, 10)}) == []

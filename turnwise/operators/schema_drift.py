@@ -159,19 +159,24 @@ def _name_similarity(a: str, b: str) -> float:
     return len(grams[0] & grams[1]) / max(1, len(grams[0] | grams[1]))
 
 
+#: The share of a score that flows on: equal types alone must not outweigh what messages carry.
+FLOW = 0.25
+
+
 def flood(old: list[dict], new: list[dict], evidence: dict[tuple[str, str], tuple[int, int]], rounds: int = 50, epsilon: float = 1e-4) -> dict[tuple[str, str], float]:
     """Similarity flooding between two small schema graphs.
 
     Nodes are fields, their JSON types and nested keys; edges are labelled ``type`` and ``key``.  A
-    pair's start value is the agreement of the carried values, plus a little for the name.  Scores
-    flow along equally labelled edges of both graphs until they settle, the start value being added
+    pair's start value is the agreement of the carried values, which counts for less the fewer
+    messages bear it out (9 of 10 is more than 1 of 1), plus a little for the name.  Scores
+    flow (by a share of FLOW) along equally labelled edges of both graphs until they settle, the start value being added
     in each round, and are divided by the largest.
     """
     start: dict[tuple[str, str], float] = {}
     for o in old:
         for n in new:
             equal, both = evidence.get((o["field"], n["field"]), (0, 0))
-            start["f:" + o["field"], "f:" + n["field"]] = (0.9 * equal / both if both else 0.05) + 0.1 * _name_similarity(o["field"], n["field"])
+            start["f:" + o["field"], "f:" + n["field"]] = (0.9 * equal / (both + 1) if both else 0.05) + 0.1 * _name_similarity(o["field"], n["field"])
     links: dict[tuple[str, str], list[tuple[str, str]]] = {p: [] for p in start}
     for o in old:
         for n in new:
@@ -188,7 +193,7 @@ def flood(old: list[dict], new: list[dict], evidence: dict[tuple[str, str], tupl
         nxt = {p: start[p] + score[p] for p in start}
         for p, neighbours in links.items():
             for q in neighbours:
-                nxt[q] += score[p] / len(neighbours)
+                nxt[q] += FLOW * score[p] / len(neighbours)
         top = max(nxt.values())
         nxt = {p: v / top for p, v in nxt.items()}
         moved = max(abs(nxt[p] - score[p]) for p in nxt)
@@ -205,7 +210,7 @@ def correspondences(old: list[dict], new: list[dict], evidence: dict[tuple[str,
     of ``least`` must.
     """
     scores = flood(old, new, evidence) if old and new else {}
-    ranked = sorted(scores.items(), key=lambda x: (-(evidence.get(x[0], (0, 0))[0] / max(1, evidence.get(x[0], (0, 0))[1])), -x[1], x[0]))
+    ranked = sorted(scores.items(), key=lambda x: (-x[1], x[0]))
     out, used = [], set()
     for (a, b), _ in ranked:
         equal, both = evidence.get((a, b), (0, 0))
