@@ -94,3 +94,17 @@ def test_subjects(spark):
     s = spark.createDataFrame([("Law", "x"), ("farming", "x"), (None, "x")], "subject string, description string")
     assert sorted((r.doc_id, r.subject) for r in find_subjects(d, s).collect()) == [(1, "Law"), (2, "Law")]
     assert find_subjects(d.limit(0), s).count() == 0
+
+
+def test_a_passage_in_two_pieces_is_held():
+    from turnwise.llm.leakage import HeldOut, leaked_items
+
+    words = [f"w{i}" for i in range(100)]
+    held = HeldOut.of([(1, " ".join(words))])
+    filler = lambda n, c: [f"{c}{i}" for i in range(n)]
+    for gap in (40, 400):
+        text = " ".join([*filler(30, "x"), *words[:33], *filler(gap, "y"), *words[60:93], *filler(30, "z")])
+        assert [i for i, _ in leaked_items(text, held)] == [1]
+    assert leaked_items(" ".join([*words[:30], *filler(400, "y"), *words[80:90]]), held) == []
+    moved = " ".join([*words[60:93], *filler(90, "y"), *words[:33]])
+    assert [i for i, _ in leaked_items(moved, held)] == [1]

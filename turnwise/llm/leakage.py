@@ -83,6 +83,10 @@ def winnow(grams: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(np.arange(n - window + 1) + window - 1 - views.argmin(axis=1))
 
 
+#: The least part of what is wanted of an item that counts as a piece of it.
+PIECE = 0.3
+
+
 @dataclass
 class HeldOut:
     """Fingerprints of a block of held-out passages, sorted by hash."""
@@ -116,10 +120,11 @@ class HeldOut:
         order = np.argsort(hashes, kind="stable")
         return HeldOut(hashes[order], items[order], positions[order], ids, words, [gram_hashes(w, k) for w in words], np.array([len(w) for w in words]))
 
-    def candidates(self, grams: np.ndarray, at: np.ndarray, share: float) -> list[tuple[int, int]]:
-        """(item number, middle of the band) of items with enough hits whose diagonals lie together.
+    def candidates(self, grams: np.ndarray, at: np.ndarray, share: float) -> list[tuple[int, list[int]]]:
+        """(item number, middles of the bands, most hits first) of items with enough hits whose diagonals lie together.
 
-        ``share`` is the number of hits wanted for each word of the item.
+        ``share`` is the number of hits wanted in a band for each word of the item; a piece of a third
+        of a passage word by word has twice as many.
         """
         own = grams[at]
         left, right = np.searchsorted(self.hashes, own, "left"), np.searchsorted(self.hashes, own, "right")
@@ -133,14 +138,17 @@ class HeldOut:
         low, wide, deep = int(bins.min()), int(bins.max() - bins.min()) + 2, int(place.max()) + 1
         key = np.unique(((items * wide) + (bins - low)) * deep + place) // deep  # one hit for each place of an item
         cells, counts = np.unique(key, return_counts=True)
-        joint = counts + np.where(np.append(np.diff(cells) == 1, False), np.append(counts[1:], 0), 0)
-        out: dict[int, tuple[int, int]] = {}
+        after = np.append(np.diff(cells) == 1, False)
+        joint = counts + np.where(after, np.append(counts[1:], 0), 0)
         needed = share * self.lengths
-        for c in np.nonzero(joint >= needed[cells // wide])[0]:
-            item, middle = int(cells[c] // wide), (int(cells[c] % wide) + low + 1) * BAND
-            if joint[c] > out.get(item, (0, 0))[0]:
-                out[item] = (int(joint[c]), middle)
-        return [(item, middle) for item, (_, middle) in out.items()]
+        strong = np.nonzero(joint >= needed[cells // wide])[0]
+        out: dict[int, list[tuple[int, int]]] = {}
+        for c in strong[np.lexsort((cells[strong], -joint[strong]))]:
+            item, spot = int(cells[c] // wide), int(cells[c] % wide)
+            bands = out.setdefault(item, [])
+            if all(abs(spot - other) > 1 for _, other in bands):
+                bands.append((int(joint[c]), spot))
+        return [(item, [(spot + low + 1) * BAND for _, spot in bands]) for item, bands in out.items()]
 
 
 def held_words(doc: np.ndarray, item: np.ndarray) -> tuple[int, int]:
@@ -173,21 +181,40 @@ def held_words(doc: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     return found
 
 
-def covered(doc: np.ndarray, doc_grams: np.ndarray, item: np.ndarray, item_grams: np.ndarray, middle: int, least: float, k: int = K) -> float:
-    """Share of the item held in the stretch of the document around a band of hits.
+def covered(doc: np.ndarray, doc_grams: np.ndarray, item: np.ndarray, item_grams: np.ndarray, middles: list[int], least: float, k: int = K) -> float:
+    """Share of the item held in the stretches of the document around its bands of hits, up to the first that makes it enough.
 
-    The alignment is left out where too few of the item's grams occur in the stretch at all.
+    What one stretch leaves of the item is looked for in the same and in the next ones.  A stretch
+    that is not enough alone counts if it is at least a part of PIECE of what is wanted and mostly
+    made of the item's grams, so that chance words do not add up.  The alignment is left out where
+    too few of the item's grams occur in the stretches at all.
     """
     n = len(item)
-    a, b = max(0, middle - 2 * BAND), middle + n + 2 * BAND
-    present = np.isin(item_grams, doc_grams[a:b])
+    windows = [(max(0, m - 2 * BAND), m + n + 2 * BAND) for m in middles if m + n + 2 * BAND > 0]
+    present = np.zeros(len(item_grams), dtype=bool)
+    for a, b in windows:
+        present |= np.isin(item_grams, doc_grams[a:b])
     mark = np.zeros(n, dtype=bool)
     for i in range(k):
         mark[i : n - k + 1 + i] |= present
     if mark.mean() < 0.6 * least:
         return 0.0
-    x, y = held_words(doc[a:b], item)
-    return (y - x) / n
+    held, free = 0, [(0, n)]
+    for a, b in windows:
+        todo, free = free, []
+        while todo:
+            left, right = todo.pop()
+            if right - left < PIECE * least * n:
+                continue
+            x, y = (left + v for v in held_words(doc[a:b], item[left:right]))
+            if y - x < least * n and (y - x < PIECE * least * n or mark[x:y].mean() < 0.6):
+                free.append((left, right))
+                continue
+            held += y - x
+            if held >= least * n:
+                return held / n
+            todo += [(left, x), (y, right)]
+    return held / n
 
 
 def leaked_items(text: str | None, held: HeldOut, least: float = LEAST, k: int = K, window: int = WINDOW) -> list[tuple[int, float]]:
@@ -197,8 +224,8 @@ def leaked_items(text: str | None, held: HeldOut, least: float = LEAST, k: int =
     if not len(grams) or not held.ids:
         return []
     out = []
-    for item, middle in held.candidates(grams, winnow(grams, window), HITS_PER_WORD * least):
-        share = covered(hashed, grams, held.words[item], held.grams[item], middle, least, k)
+    for item, middles in held.candidates(grams, winnow(grams, window), HITS_PER_WORD * least):
+        share = covered(hashed, grams, held.words[item], held.grams[item], middles, least, k)
         if share >= least:
             out.append((held.ids[item], share))
     return out
