@@ -46,13 +46,15 @@ _EMAIL = re.compile(
 _DIGITS = re.compile(r"(?<![\w@#$-])(?<!\d[.,/:])(?:\+ ?|\()?\(?\d+(?:(?:\) ?|[ ./-]| \(|\(|-\()\(?\d+)*")
 _CODE = re.compile(r"(?<![\w@#-])(?:[A-Z]{1,3}\d[0-9A-Z]*(?:-\d+)*|[XYZ]?\d{7,8}[- ]?[A-Z])(?![\w-])")
 _STREET_WORD = r"(?:street|st|road|rd|avenue|ave|court|ct|lane|ln|drive|dr|way|square|sq|terrace|close|crescent|boulevard|blvd|place|pl|gardens|row|hill|parade|mews|walk)"
+_STREET_END = r"(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|damm|ufer|chaussee|steig|pfad)"
+_STREET_START = r"(?:calle|c/|avenida|avda\.|av\.|plaza|paseo|camino|carrera|ronda|travesía)"
 _UP = "(?-i:[A-ZÀ-ÖØ-Ý])"
 _NAME_PART = rf"{_UP}[{_WORDCHAR}’'-]*"
 _STREET = re.compile(
     rf"(?<![\w/-])\d{{1,4}} ?(?-i:[A-Za-z])?(?: ?(?:bis|ter|quater))?,? (?:{_NAME_PART} ){{1,3}}{_STREET_WORD}\b"
     rf"|(?<![\w/-])\d{{1,4}} ?[A-Za-z]?(?: (?:bis|ter|quater))?,? (?:rue|avenue|av\.|boulevard|bd|place|chemin|allée|impasse|quai|cours|route|square)(?: (?:de la|de l'|de|du|des|le|la|les))? ?(?:d'|l')?{_NAME_PART}(?: {_NAME_PART})*"
-    rf"|(?<![\w/-]){_UP}[{_WORDCHAR}-]*(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|damm|ufer|chaussee|steig|pfad)(?: |, ?)\d{{1,4}}(?: ?[a-z](?!\w))?"
-    rf"|(?<![\w/-])(?:calle|c/|avenida|avda\.|av\.|plaza|paseo|camino|carrera|ronda|travesía)(?: (?:de la|de los|de las|de|del|la|el))? ?{_NAME_PART}(?: {_NAME_PART}){{0,2}}(?:,? (?:nº|no\.|n\.º) ?|, ?| )\d{{1,4}}(?: ?[A-Za-z](?!\w))?",
+    rf"|(?<![\w/-]){_UP}[{_WORDCHAR}-]*{_STREET_END}(?: |, ?)\d{{1,4}}(?: ?[a-z](?!\w))?"
+    rf"|(?<![\w/-]){_STREET_START}(?: (?:de la|de los|de las|de|del|la|el))? ?{_NAME_PART}(?: {_NAME_PART}){{0,2}}(?:,? (?:nº|no\.|n\.º) ?|, ?| )\d{{1,4}}(?: ?[A-Za-z](?!\w))?",
     re.I,
 )
 
@@ -436,22 +438,22 @@ def default_field() -> Field:
     return fit(training_documents())
 
 
-_GATE_NUMBER = re.compile(r"\d[\d ./()-]{5}|[A-Z]\d{4}|[A-Z]\d{2}[A-Z]\d")
+_GATE_NUMBER = re.compile(r"\d[\d ./()-]{5}|(?<![\w@#-])[A-Z]{1,3}\d[\dA-Z-]{4}")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_GATE_PLACE = re.compile(r"\d[ a-z]{0,7},? (?:[a-zà-ÿ.’'-]+ ){1,5}|(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|damm|ufer|pfad|steig|chaussee),? \d|calle |c/|avenida |avda\.|plaza |paseo |camino |ronda ")
-_PAIR = re.compile(r"[A-ZÀ-Ý][a-zà-ÿ’'-]+ (?=([A-ZÀ-Ý][a-zà-ÿ’'-]*[a-zà-ÿ]))")
+_GATE_PLACE = re.compile(rf"\d ?[a-z]?(?: ?(?:bis|ter|quater))?,? [^\W\d_]|{_STREET_END}(?: |, ?)\d|(?<![\w/-]){_STREET_START}", re.I)
+_PAIR = re.compile(rf"(?![a-z]){_W}[{_WORDCHAR}’'-]+ (?=((?![a-z]){_W}[{_WORDCHAR}’'-]+))")
 
 
 def may_hold(text: str) -> bool:
     """A quick test that every text with a candidate passes."""
     low = text.lower()
-    if "@" in low or "at]" in low or "at)" in low or "at}" in low or (" at " in low and " dot " in low):
+    if "@" in low or "at]" in low or "at)" in low or "at}" in low or (" at " in low and "dot" in low):
         return True
     if not GIVEN.isdisjoint(_LETTERS.findall(low)):
         return True
-    if _GATE_NUMBER.search(text) or _GATE_PLACE.search(low) and _STREET.search(text):
+    if _GATE_NUMBER.search(text) or _GATE_PLACE.search(text) and _STREET.search(text):
         return True
-    return any(_FAMILY_END.search(m.lower()) for m in _PAIR.findall(text))
+    return any(_family_features(m) for m in _PAIR.findall(text))
 
 
 def find_pii(text: str | None, field: Field | None = None, least: float = 0.5) -> list[tuple[int, int, str]]:
