@@ -100,3 +100,13 @@ def test_phase_fold_equals_a_loop(spark, make_turns):
             sims = [sum(weights[c].get(w, 0.0) for w in known) / norm if norm else 0.0 for c in CATEGORIES] if toks else None
             previous = label(speaker, text == FENCE, False, sims, previous)
             assert got[t, i] == previous, (t, i, text)
+
+
+def test_timeline_is_joined_by_blocks(spark):
+    from turnwise.operators.phases import LETTERS, timeline
+
+    phases = sorted(LETTERS)
+    rows = [(t, i, phases[(i * 7 + t) % len(phases)]) for t in (1, 2) for i in range(-3, 1200)]
+    out = timeline(spark.createDataFrame(rows[::-1], "transcript_id long, turn_idx long, phase string"))
+    assert {r.transcript_id: r.timeline for r in out.collect()} == {t: " ".join(LETTERS[p] for u, _, p in rows if u == t) for t in (1, 2)}
+    assert "block" in out._jdf.queryExecution().optimizedPlan().toString()

@@ -152,7 +152,12 @@ def label_phases(turns: DataFrame, enabled: bool = True) -> DataFrame:
 
 
 def timeline(labelled: DataFrame) -> DataFrame:
-    """(transcript_id, timeline): the phase letters in order, separated by blanks."""
+    """(transcript_id, timeline): the phase letters in order, separated by blanks.
+
+    Letters are joined within blocks of turn numbers; one string per block is joined over a transcript.
+    """
     letters = F.create_map(*[F.lit(x) for pair in LETTERS.items() for x in pair])
     item = F.struct("turn_idx", F.coalesce(F.try_element_at(letters, F.col("phase")), F.lit("U")).alias("l"))
-    return labelled.groupBy("transcript_id").agg(F.sort_array(F.collect_list(item)).alias("ls")).select("transcript_id", F.array_join("ls.l", " ").alias("timeline"))
+    block = F.floor(F.col("turn_idx") / 512).alias("block")
+    parts = labelled.groupBy("transcript_id", block).agg(F.sort_array(F.collect_list(item)).alias("ls")).select("transcript_id", F.struct("block", F.array_join("ls.l", " ").alias("l")).alias("part"))
+    return parts.groupBy("transcript_id").agg(F.sort_array(F.collect_list("part")).alias("ps")).select("transcript_id", F.array_join("ps.l", " ").alias("timeline"))
