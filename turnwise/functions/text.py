@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 #: Unicode words with inner apostrophes and hyphens, without look-around.
@@ -9,7 +11,10 @@ TOKEN = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_'-]*[\p{L}\p{N}_])?"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 #: Words that are no keywords.
-STOPWORDS = "a an and are as at be by for from has have how i in is it its me my of on or our please that the this to we with you your".split()
+STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "how", "i", "in", "is", "it", "its", "me", "my", "of",
+    "on", "or", "our", "please", "that", "the", "this", "to", "we", "with", "you", "your",
+]
 
 
 def tokens(text: Column) -> Column:
@@ -26,8 +31,11 @@ def normal_tokens(text: Column) -> Column:
 
 def keywords(text: Column) -> Column:
     """Distinct lower-case tokens of more than three characters that are no stopwords."""
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.array_distinct(F.filter(normal_tokens(text), lambda t: (F.length(t) > 3) & ~F.array_contains(stop, t)))
+    return F.array_distinct(F.filter(normal_tokens(text), lambda t: (F.length(t) > 3) & ~t.isin(*[w for w in STOPWORDS if len(w) > 3])))
+
+
+def _padded(normal: Column) -> Column:
+    return F.concat(F.lit(" "), F.array_join(normal, " "), F.lit(" "))
 
 
 def term_hits(normal: Column, terms: list[str]) -> Column:
@@ -35,19 +43,13 @@ def term_hits(normal: Column, terms: list[str]) -> Column:
 
     Terms are matched as whole token runs: the tokens joined with blanks, padded, must contain the padded term.
     """
-    padded = F.concat(F.lit(" "), F.array_join(normal, " "), F.lit(" "))
-    total = F.lit(0)
-    for term in terms:
-        total = total + F.contains(padded, F.lit(f" {term} ")).cast("int")
-    return total
+    padded = F.array(_padded(normal))
+    hits = lambda p: F.size(F.filter(F.array(*[F.lit(f" {t} ") for t in terms]), lambda t: F.contains(p, t)))
+    return F.get(F.transform(padded, hits), F.lit(0))
 
 
 def has_term(normal: Column, terms: list[str]) -> Column:
-    padded = F.concat(F.lit(" "), F.array_join(normal, " "), F.lit(" "))
-    found = F.lit(False)
-    for term in terms:
-        found = found | F.contains(padded, F.lit(f" {term} "))
-    return found
+    return _padded(normal).rlike(" (?:" + "|".join(re.escape(t).replace("\\ ", " ") for t in terms) + ") ")
 
 
 def filled_lines(text: Column) -> Column:

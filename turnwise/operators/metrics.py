@@ -1,118 +1,326 @@
 """Per-transcript metrics over normalised turns.
 
-Turn-level facts are projected once; everything per transcript is one hash aggregation with map-side
-partial sums, so a transcript with a third of the turns is no hot spot.  Ordered measures use the blocked
-operators of ``sequence``.
+The text and the code of a turn are read once, into small facts.  A ``Part`` is a set of metrics over
+these facts: what it must see ahead of a turn, its aggregates and its columns.  All parts share one
+window pass and one aggregation with map-side partial sums, so a transcript with a third of the turns is
+no hot spot.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from turnwise.functions.text import half_even, has_term, keywords, normal_tokens, ratio, term_hits
-from turnwise.operators.codeintel import RISKS, analyze_python, is_python_candidate, line_risks, secret_count
+from turnwise.functions.text import LINE_BREAK, half_even, has_term, keywords, normal_tokens, ratio, term_hits
+from turnwise.operators.codeintel import MEASURES, RISKS, analyze_blocks, is_python_candidate, line_risks, secret_count
 from turnwise.operators.normalize import SPEAKERS, is_code_turn
-from turnwise.operators.phases import PHASES, RANKS, label_phases
-from turnwise.operators.sequence import next_matching, next_row
+from turnwise.operators.phases import PHASES, RANKS, label_phases, step
+from turnwise.operators.sequence import delivered_once, look_ahead, next_row
 from turnwise.session import ensure_checkpoint_dir
 
 #: The term lists, in normal form.
-CORRECTION = ["not quite", "try again", "incorrect", "wrong", "fix this", "does not work", "failed", "error", "change that"]
+CORRECTION = [
+    "not quite", "try again", "incorrect", "wrong", "fix this", "does not work", "failed", "error", "change that",
+]
 REJECTION = ["no", "not this", "different approach", "start over", "discard", "replace", "that is wrong"]
 POSITIVE = ["good", "great", "perfect", "nice", "thanks", "thank you", "looks good", "works"]
 CONTINUATION = ["now", "next", "also", "can you add", "please add", "extend", "continue", "looks good", "proceed"]
 DEPENDENCIES = ["event-stream", "ua-parser-js", "axios", "left-pad"]
-SECURITY = ["security", "sanitize", "escape", "validate", "csrf", "xss", "sql injection", "auth", "authorization", "least privilege", "secrets"]
-SPECIFICITY = ["requirements", "constraint", "validate", "test", "edge case", "error handling", "performance", "security", "modular", "scalable", "json", "cli", "frontend", "report"]
+SECURITY = [
+    "security", "sanitize", "escape", "validate", "csrf", "xss", "sql injection", "auth", "authorization", "least privilege", "secrets",
+]
+SPECIFICITY = [
+    "requirements", "constraint", "validate", "test", "edge case", "error handling", "performance", "security", "modular", "scalable",
+    "json", "cli", "frontend", "report",
+]
 TOOL_MENTION = r"(?i)\b(?:tool|run_in_terminal|function call|execute command|shell command|terminal)\b"
 TOKENS_PER_WORD = 1.35
+#: A bearer mark may end a turn with its token opening the next one, as the turns are joined by line breaks.
+BEARER_END = r"(?i)\bBearer$"
+BEARER_HEAD = r"^[A-Za-z0-9\-._~+/]+=*\b"
 
 KEY = "transcript_id"
 
 
-def turn_facts(turns: DataFrame) -> DataFrame:
-    """Adds the per-turn facts every metric reads: words, code, term flags, keywords."""
-    x = turns.withColumn("norm", normal_tokens(F.col("content")))
-    return x.withColumns(
-        {
-            "words": F.size("norm").cast("long"),
-            "is_code": is_code_turn(F.col("blocks"), F.col("content")),
-            "tool_call": (F.col("speaker") == "Tool") | F.col("content").rlike(TOOL_MENTION),
-            "corrects": has_term(F.col("norm"), CORRECTION),
-            "rejects": has_term(F.col("norm"), REJECTION),
-            "approves": has_term(F.col("norm"), POSITIVE),
-            "continues": has_term(F.col("norm"), CONTINUATION),
-        }
-    )
+def _by(speaker: str) -> Column:
+    return F.col("speaker") == speaker
+
+
+# --- facts ----------------------------------------------------------------------------------------
+
+
+def _specificity(words: Column, norm: Column, text: Column) -> Column:
+    length = F.when(words < 4, 25.0).when(words <= 14, 70.0).when(words <= 60, 100.0).when(words <= 120, 80.0).otherwise(55.0)
+    named = F.least(term_hits(norm, SPECIFICITY), F.lit(6)) / 6.0 * 100.0
+    signs = [text.contains(":"), text.contains("\n"), text.rlike("must|should|need|required"), text.rlike(r"\p{Nd}")]
+    share = sum((s.cast("int") for s in signs[1:]), signs[0].cast("int")) / 4.0 * 100.0
+    return F.lit(0.4) * length + F.lit(0.4) * named + F.lit(0.2) * share
+
+
+def code_facts(blocks: Column) -> Column:
+    """The measures of a turn's code blocks as one struct: line measures and risks in expressions, the rest by syntax trees.
+
+    Risks of a block come from its syntax tree where it parses, else line by line.
+    """
+    python = lambda b: is_python_candidate(b["code"], b["language"])
+    marked = F.transform(blocks, lambda b: F.struct(b["code"].alias("code"), python(b).alias("py")))
+
+    def measure(m: Column) -> Column:
+        candidates = F.transform(F.filter(m, lambda b: b["py"]), lambda b: b["code"])
+        others = F.transform(F.filter(m, lambda b: ~b["py"]), lambda b: b["code"])
+        lines = F.flatten(F.transform(m, lambda b: F.split(b["code"], LINE_BREAK)))
+        return F.struct(
+            F.size(m).alias("blocks"),
+            candidates.alias("candidates"),
+            others.alias("others"),
+            F.size(F.filter(lines, lambda x: x.rlike(r"(?U)\S"))).alias("code_lines"),
+            F.size(F.filter(lines, lambda x: F.length(F.regexp_replace(x, r"(?U)\s+$", "")) > 120)).alias("long_lines"),
+            F.size(F.filter(lines, lambda x: x.rlike(r"(?U)^\s*#"))).alias("comments"),
+        )
+
+    return F.get(F.transform(F.array(marked), measure), F.lit(0))
+
+
+def _with_code(x: DataFrame) -> DataFrame:
+    """Adds ``code``.  Syntax trees are Python's; only the codes of candidates go there."""
+    x = x.withColumn("_c", code_facts(F.when(_by("AI"), F.col("blocks")).otherwise(F.slice("blocks", 1, 0))))
+    x = x.withColumn("_a", analyze_blocks("_c.candidates"))
+    unparsed = F.filter(F.arrays_zip("_c.candidates", "_a.parsed"), lambda z: ~z["parsed"])
+    by_line = F.concat("_c.others", F.transform(unparsed, lambda z: z["candidates"]))
+    risks = F.transform(F.array(F.array_join(by_line, "\n")), lambda t: F.struct(*[c.alias(k) for k, c in line_risks(t).items()]))
+    x = x.withColumns({"_r": F.get(risks, F.lit(0)), "_l": F.size(by_line)})
+    told = {k: F.col(f"_c.{k}") for k in ("blocks", "code_lines", "long_lines", "comments")}
+    told |= {"candidates": F.size("_c.candidates"), "by_line": F.col("_l"), **{m: F.col(f"_a.{m}") for m in MEASURES}}
+    told |= {f"r_{k}": F.col(f"_a.{k}") + F.col(f"_r.{k}") for k in RISKS}
+    code = F.struct(*[told[k].cast("long").alias(k) for k in CODE_FIELDS])
+    return x.withColumn("code", code).drop("_c", "_a", "_r", "_l")
+
+
+def turn_facts(turns: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Adds the facts of each turn, or those named, which alone are then planned."""
+    text, norm = F.col("content"), F.col("norm")
+    bearer = lambda t: secret_count(t, ["bearer"])
+    facts: dict[str, Callable[[], Column]] = {
+        "words": lambda: F.size("norm").cast("long"),
+        "is_code": lambda: is_code_turn(F.col("blocks"), text),
+        "tool_call": lambda: _by("Tool") | text.rlike(TOOL_MENTION),
+        "corrects": lambda: has_term(norm, CORRECTION),
+        "rejects": lambda: has_term(norm, REJECTION),
+        "approves": lambda: has_term(norm, POSITIVE),
+        "continues": lambda: has_term(norm, CONTINUATION),
+        "kw": lambda: F.when(_by("User") | _by("AI"), keywords(text)),
+        "specific": lambda: F.when(_by("User"), _specificity(F.size("norm"), norm, text)),
+        "secure": lambda: has_term(norm, SECURITY),
+        "depends": lambda: has_term(norm, DEPENDENCIES),
+        "step": lambda: step("speaker", "size(blocks) > 0", "content"),
+        "secrets": lambda: secret_count(text),
+        "bearer_end": lambda: text.rlike(BEARER_END),
+        "filled": lambda: text != "",
+        "bearer_head": lambda: F.when(text.rlike(BEARER_HEAD), bearer(F.regexp_replace(text, BEARER_HEAD, "")) - bearer(text) + 1),
+        "languages": lambda: F.when(_by("AI"), F.filter(F.transform("blocks", lambda b: b["language"]), lambda v: v.isNotNull())),
+    }
+    chosen = {k: make() for k, make in facts.items() if names is None or k in names}
+    x = turns
+    if not chosen.keys().isdisjoint(_OF_TOKENS):
+        x = x.withColumn("norm", normal_tokens(text))
+    x = (x.withColumns(chosen) if chosen else x).drop("norm")
+    return _with_code(x) if names is None or "code" in names else x
+
+
+#: Facts made from the tokens of a turn.
+_OF_TOKENS = {"words", "corrects", "rejects", "approves", "continues", "specific", "secure", "depends"}
+#: The type of the fact ``code``.
+CODE_FIELDS = ["blocks", "code_lines", "long_lines", "comments", "candidates", "by_line", *MEASURES, *[f"r_{k}" for k in RISKS]]
+CODE_TYPE = "struct<" + ",".join(f"{k}:bigint" for k in CODE_FIELDS) + ">"
+#: The facts kept of a turn; its text and code are not among them.
+FACTS = [
+    KEY, "turn_idx", "_block", "speaker", "words", "is_code", "tool_call", "corrects", "rejects", "approves", "continues", "kw", "specific",
+    "secure", "depends", "step", "secrets", "bearer_end", "filled", "bearer_head", "code", "languages",
+]
+
+
+# --- parts ----------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Part:
+    """Metrics over turn facts: what they see ahead ({name: (condition, value)}), aggregates, and columns over these."""
+
+    reads: list[str]
+    aggregates: list[Column]
+    columns: list[Column]
+    ahead: dict[str, tuple[Column, Column | None]] = field(default_factory=dict)
+    from_end: bool = False
+
+
+def metrics_of(facts: DataFrame, *parts: Part) -> DataFrame:
+    """One row per transcript with the columns of all parts: one window pass (if any part looks ahead) and one aggregation."""
+    reads = list(dict.fromkeys([KEY, "turn_idx", "_block", *[r for p in parts for r in p.reads]]))
+    x = facts.select(*reads)
+    ahead = {k: v for p in parts for k, v in p.ahead.items()}
+    if ahead or any(p.from_end for p in parts):
+        x = look_ahead(x, KEY, "turn_idx", ahead, "from_end" if any(p.from_end for p in parts) else None)
+    a = x.groupBy(KEY).agg(*[c for p in parts for c in p.aggregates])
+    return a.select(KEY, *[c for p in parts for c in p.columns])
 
 
 def _count(condition: Column) -> Column:
     return F.count_if(condition).cast("long")
 
 
-def _sum(value: Column, condition: Column) -> Column:
-    return F.coalesce(F.sum(F.when(condition, value)), F.lit(0)).cast("long")
+def _sum(value: Column | str, condition: Column | None = None) -> Column:
+    value = F.col(value) if isinstance(value, str) else value
+    return F.coalesce(F.sum(value if condition is None else F.when(condition, value)), F.lit(0)).cast("long")
+
+
+def _mean(value: Column, digits: int) -> Column:
+    return F.coalesce(half_even(F.avg(value), digits), F.lit(0.0))
+
+
+def _tokens(words: str) -> Column:
+    return F.ceil(F.col(words) * F.lit(TOKENS_PER_WORD)).cast("long")
+
+
+def _conversation() -> Part:
+    c = F.col
+    talk = c("total_turns") - c("code_turn_count")
+    return Part(
+        ["speaker", "words", "is_code", "tool_call"],
+        [
+            F.count("*").alias("total_turns"), _count(_by("User")).alias("user_turns"), _count(_by("AI")).alias("ai_turns"),
+            _count(c("speaker") == "Tool").alias("tool_turns"), _sum("words", _by("User")).alias("user_word_count"),
+            _sum("words", _by("AI")).alias("ai_word_count"), _count(c("is_code")).alias("code_turn_count"),
+            _count(c("tool_call")).alias("tool_call_turn_count"),
+        ],
+        [
+            c("total_turns"), c("user_turns"), c("ai_turns"), c("tool_turns"),
+            ratio(c("ai_turns"), c("user_turns"), 3).alias("ai_to_user_turn_ratio"), c("user_word_count"), c("ai_word_count"),
+            _tokens("user_word_count").alias("estimated_user_tokens"), _tokens("ai_word_count").alias("estimated_ai_tokens"),
+            (_tokens("user_word_count") + _tokens("ai_word_count")).alias("estimated_total_tokens"),
+            ratio(c("user_word_count"), c("user_turns"), 2, 0.0).alias("avg_user_prompt_words"),
+            ratio(c("ai_word_count"), c("ai_turns"), 2, 0.0).alias("avg_ai_response_words"), c("code_turn_count"),
+            talk.alias("discussion_turn_count"), ratio(c("code_turn_count"), c("total_turns"), 3, 0.0).alias("code_turn_ratio"),
+            ratio(c("code_turn_count"), talk, 3).alias("code_to_discussion_ratio"), c("tool_call_turn_count"),
+        ],
+    )
 
 
-def conversation_metrics(facts: DataFrame) -> DataFrame:
-    user, ai = F.col("speaker") == "User", F.col("speaker") == "AI"
-    a = facts.groupBy(KEY).agg(
-        F.count("*").alias("total_turns"), _count(user).alias("user_turns"), _count(ai).alias("ai_turns"), _count(F.col("speaker") == "Tool").alias("tool_turns"),
-        _sum(F.col("words"), user).alias("user_word_count"), _sum(F.col("words"), ai).alias("ai_word_count"), _count(F.col("is_code")).alias("code_turn_count"), _count(F.col("tool_call")).alias("tool_call_turn_count"),
-    )
-    est = lambda c: F.ceil(F.col(c) * F.lit(TOKENS_PER_WORD)).cast("long")
-    a = a.withColumns({"estimated_user_tokens": est("user_word_count"), "estimated_ai_tokens": est("ai_word_count"), "discussion_turn_count": F.col("total_turns") - F.col("code_turn_count")})
-    return a.select(
-        KEY, "total_turns", "user_turns", "ai_turns", "tool_turns", ratio(F.col("ai_turns"), F.col("user_turns"), 3).alias("ai_to_user_turn_ratio"), "user_word_count", "ai_word_count",
-        "estimated_user_tokens", "estimated_ai_tokens", (F.col("estimated_user_tokens") + F.col("estimated_ai_tokens")).alias("estimated_total_tokens"),
-        ratio(F.col("user_word_count"), F.col("user_turns"), 2, 0.0).alias("avg_user_prompt_words"), ratio(F.col("ai_word_count"), F.col("ai_turns"), 2, 0.0).alias("avg_ai_response_words"),
-        "code_turn_count", "discussion_turn_count", ratio(F.col("code_turn_count"), F.col("total_turns"), 3, 0.0).alias("code_turn_ratio"), ratio(F.col("code_turn_count"), F.col("discussion_turn_count"), 3).alias("code_to_discussion_ratio"), "tool_call_turn_count",
+def _suggestions() -> Part:
+    """Each AI turn is a suggestion, judged by the next User turn."""
+    c = F.col
+    no = F.lit(False)
+    judged = F.struct((c("rejects") | c("corrects")).alias("r"), (c("approves") | c("continues")).alias("a"))
+    rejected = _by("AI") & F.coalesce(c("verdict.r"), no)
+    accepted = _by("AI") & ~F.coalesce(c("verdict.r"), no) & F.coalesce(c("verdict.a"), no)
+    n, yes, nay = c("ai_suggestion_count"), c("accepted_suggestion_count"), c("rejected_suggestion_count")
+    return Part(
+        ["speaker", "rejects", "corrects", "approves", "continues"],
+        [
+            _count(_by("User")).alias("_users"), _count(_by("User") & c("corrects")).alias("correction_count"),
+            _count(_by("User") & c("approves")).alias("positive_feedback_count"), _count(_by("AI")).alias("ai_suggestion_count"),
+            _count(accepted).alias("accepted_suggestion_count"), _count(rejected).alias("rejected_suggestion_count"),
+        ],
+        [
+            c("correction_count"), ratio(c("correction_count"), c("_users"), 3, 0.0).alias("correction_ratio"),
+            c("positive_feedback_count"), ratio(c("positive_feedback_count"), c("_users"), 3, 0.0).alias("positive_feedback_ratio"),
+            n, yes, nay, (n - yes - nay).alias("unresolved_suggestion_count"), ratio(yes, n, 3).alias("acceptance_rate"),
+            ratio(nay, n, 3).alias("rejection_rate"),
+        ],
+        {"verdict": (_by("User"), judged)},
     )
 
 
-def response_latency(facts: DataFrame) -> DataFrame:
-    """Mean distance in turns from a User turn to the next AI turn; 0.0 without any."""
-    x = next_matching(facts.select(KEY, "turn_idx", "_block", "speaker", "pos"), KEY, "turn_idx", F.col("speaker") == "AI", F.col("pos"), "ai_pos")
-    far = F.when(F.col("speaker") == "User", F.col("ai_pos") - F.col("pos"))
-    return x.groupBy(KEY).agg(F.coalesce(half_even(F.avg(far), 2), F.lit(0.0)).alias("avg_response_latency_turns"))
+def _retention() -> Part:
+    """Mean share of a prompt's keywords that the next AI turn takes up, times 100; 0.0 without any."""
+    counted = _by("User") & F.col("ai_kw").isNotNull() & (F.size("kw") > 0)
+    share = F.when(counted, F.size(F.array_intersect("kw", "ai_kw")) / F.size("kw"))
+    mean = F.coalesce(half_even(F.avg(share) * 100.0, 2), F.lit(0.0)).alias("context_retention_score")
+    return Part(["speaker", "kw"], [mean], [F.col("context_retention_score")], {"ai_kw": (_by("AI"), F.col("kw"))})
 
 
-def suggestion_outcomes(facts: DataFrame) -> DataFrame:
-    """Each AI turn is a suggestion, judged by the next User turn."""
-    judged = F.struct((F.col("rejects") | F.col("corrects")).alias("r"), (F.col("approves") | F.col("continues")).alias("a"))
-    slim = facts.select(KEY, "turn_idx", "_block", "speaker", "rejects", "corrects", "approves", "continues")
-    x = next_matching(slim, KEY, "turn_idx", F.col("speaker") == "User", judged, "verdict")
-    ai, user = F.col("speaker") == "AI", F.col("speaker") == "User"
-    rejected = ai & F.coalesce(F.col("verdict.r"), F.lit(False))
-    accepted = ai & ~F.coalesce(F.col("verdict.r"), F.lit(False)) & F.coalesce(F.col("verdict.a"), F.lit(False))
-    a = x.groupBy(KEY).agg(
-        _count(user).alias("_users"), _count(user & F.col("corrects")).alias("correction_count"), _count(user & F.col("approves")).alias("positive_feedback_count"),
-        _count(ai).alias("ai_suggestion_count"), _count(accepted).alias("accepted_suggestion_count"), _count(rejected).alias("rejected_suggestion_count"),
-    )
-    return a.select(
-        KEY, "correction_count", ratio(F.col("correction_count"), F.col("_users"), 3, 0.0).alias("correction_ratio"), "positive_feedback_count", ratio(F.col("positive_feedback_count"), F.col("_users"), 3, 0.0).alias("positive_feedback_ratio"),
-        "ai_suggestion_count", "accepted_suggestion_count", "rejected_suggestion_count", (F.col("ai_suggestion_count") - F.col("accepted_suggestion_count") - F.col("rejected_suggestion_count")).alias("unresolved_suggestion_count"),
-        ratio(F.col("accepted_suggestion_count"), F.col("ai_suggestion_count"), 3).alias("acceptance_rate"), ratio(F.col("rejected_suggestion_count"), F.col("ai_suggestion_count"), 3).alias("rejection_rate"),
+def _simple(reads: list[str], **aggregates: Column) -> Part:
+    return Part(reads, [c.alias(k) for k, c in aggregates.items()], [F.col(k) for k in aggregates])
+
+
+def _secrets() -> Part:
+    """Secrets of the turns joined by line breaks: a bearer mark at a turn's end takes its token from the next filled turn."""
+    over = F.when(F.col("bearer_end"), F.col("next_head"))
+    return Part(
+        ["secrets", "bearer_end", "bearer_head", "filled"],
+        [(_sum("secrets") + _sum(over)).alias("secret_exposure_count")],
+        [F.col("secret_exposure_count")],
+        {"next_head": (F.col("filled"), F.col("bearer_head"))},
+    )
+
+
+def _code() -> Part:
+    c = F.col
+    of = lambda m: F.col(f"code.{m}")
+    files = c("ai_code_block_count")
+    cand, parsed, funcs = c("python_candidate_block_count"), c("parseable_python_block_count"), c("function_count")
+    risks = [c(f"_r_{k}") for k in RISKS]
+    every = sum(risks[1:], risks[0])
+    entries = F.array(*[F.struct(F.lit(k).alias("k"), c(f"_r_{k}").alias("v")) for k in sorted(RISKS)])
+    entries = F.filter(entries, lambda e: (e["v"] > 0) | (c("_by_line") > 0))
+    severity = lambda e: F.when(e["k"] == "weak_hashing", "medium").otherwise("high").alias("severity")
+    high = F.transform(F.filter(entries, lambda e: e["v"] > 0), lambda e: F.struct(e["k"].alias("type"), e["v"].alias("count"), severity(e)))
+    secret = F.array(F.struct(F.lit("secret_exposure").alias("type"), c("secret_exposure_count").alias("count"), F.lit("critical").alias("severity")))
+    exposed = F.when(c("secret_exposure_count") > 0, secret).otherwise(F.slice(secret, 1, 0))
+    total = every + c("secret_exposure_count")
+    return Part(
+        ["code"],
+        [
+            _sum(of("blocks")).alias("ai_code_block_count"), _sum(of("code_lines")).alias("ai_code_line_count"),
+            _sum(of("candidates")).alias("python_candidate_block_count"), _sum(of("n_parsed")).alias("parseable_python_block_count"),
+            _sum(of("complexity")).alias("_cx"), F.coalesce(F.max(of("most_complex")), F.lit(0)).cast("long").alias("_cm"),
+            _sum(of("functions")).alias("function_count"), _sum(of("lines")).alias("_fl"), _sum(of("typed")).alias("_ty"),
+            _sum(of("documented")).alias("_do"), _sum(of("tries")).alias("_tr"), _sum(of("long_lines")).alias("long_line_count"),
+            _sum(of("comments")).alias("_co"), _sum(of("by_line")).alias("_by_line"),
+            *[_sum(of(f"r_{k}")).alias(f"_r_{k}") for k in RISKS],
+        ],
+        [
+            files, c("ai_code_line_count"), cand, (files - cand).alias("non_python_code_block_count"), parsed,
+            ratio(parsed, cand, 3).alias("python_syntax_valid_ratio"),
+            ratio(c("_cx"), parsed, 2, 0.0).alias("avg_estimated_cyclomatic_complexity"),
+            c("_cm").alias("max_estimated_cyclomatic_complexity"), funcs, ratio(c("_fl"), funcs, 2, 0.0).alias("avg_function_length"),
+            ratio(c("_ty"), funcs, 3).alias("type_hint_coverage"), ratio(c("_do"), funcs, 3).alias("docstring_coverage"),
+            ratio(c("_tr"), parsed, 3, 0.0).alias("exception_handling_density"), c("long_line_count"),
+            ratio(c("_co"), F.greatest(c("ai_code_line_count"), F.lit(1)), 3, 0.0).alias("comment_density"),
+            total.alias("security_risk_count"), every.alias("insecure_code_pattern_count"),
+            ratio(total, F.greatest(files, F.lit(1)), 3, 0.0).alias("security_issue_density"),
+            F.map_from_entries(entries).alias("security_risk_breakdown"), F.concat(high, exposed).alias("security_findings"),
+        ],
     )
 
 
-def context_retention(facts: DataFrame) -> DataFrame:
-    """Mean share of a prompt's keywords that the next AI turn takes up, times 100; 0.0 without any."""
-    x = facts.select(KEY, "turn_idx", "_block", "speaker", keywords(F.col("content")).alias("kw"))
-    x = next_matching(x, KEY, "turn_idx", F.col("speaker") == "AI", F.col("kw"), "ai_kw")
-    share = F.when((F.col("speaker") == "User") & F.col("ai_kw").isNotNull() & (F.size("kw") > 0), F.size(F.array_intersect("kw", "ai_kw")) / F.size("kw"))
-    return x.groupBy(KEY).agg(F.coalesce(half_even(F.avg(share) * 100.0, 2), F.lit(0.0)).alias("context_retention_score"))
+def _latency() -> Part:
+    """Mean distance in turns from a User turn to the next AI turn; 0.0 without any."""
+    far = F.when(_by("User"), F.col("from_end") - F.col("ai_from_end"))
+    mean = _mean(far, 2).alias("avg_response_latency_turns")
+    return Part(["speaker"], [mean], [F.col("avg_response_latency_turns")], {"ai_from_end": (_by("AI"), None)}, from_end=True)
+
+
+#: The parts of a full evaluation that read turn facts alone, in order.
+PARTS: dict[str, Callable[[], Part]] = {
+    "conversation": _conversation,
+    "latency": _latency,
+    "suggestions": _suggestions,
+    "retention": _retention,
+    "specificity": lambda: _simple(["specific"], prompt_specificity_score=_mean(F.col("specific"), 2)),
+    "mentions": lambda: _simple(
+        ["secure", "depends"],
+        security_discussion_count=_count(F.col("secure")),
+        insecure_dependency_mention_count=_count(F.col("depends")),
+    ),
+    "secrets": _secrets,
+    "code": _code,
+}
 
 
-def prompt_specificity(facts: DataFrame) -> DataFrame:
-    w, c = F.col("words"), F.col("content")
-    length = F.when(w < 4, 25.0).when(w <= 14, 70.0).when(w <= 60, 100.0).when(w <= 120, 80.0).otherwise(55.0)
-    named = F.least(term_hits(F.col("norm"), SPECIFICITY), F.lit(6)) / 6.0 * 100.0
-    signs = c.contains(":").cast("int") + c.contains("\n").cast("int") + c.rlike("must|should|need|required").cast("int") + c.rlike(r"\p{Nd}").cast("int")
-    score = F.when(F.col("speaker") == "User", F.lit(0.4) * length + F.lit(0.4) * named + F.lit(0.2) * (signs / 4.0 * 100.0))
-    return facts.groupBy(KEY).agg(F.coalesce(half_even(F.avg(score), 2), F.lit(0.0)).alias("prompt_specificity_score"))
+# --- transitions ----------------------------------------------------------------------------------
 
 
 def transitions(rows: DataFrame, group: str, order: str, state: str) -> DataFrame:
@@ -123,126 +331,134 @@ def transitions(rows: DataFrame, group: str, order: str, state: str) -> DataFram
 
 def dense_transitions(edges: DataFrame, groups: DataFrame, group: str, domain: list[str]) -> DataFrame:
     """The zero-filled matrix: every group with every pair of the label domain (a fixed handful of labels)."""
-    cells = groups.select(group).distinct().select(group, F.explode(F.array(*[F.struct(F.lit(a).alias("src"), F.lit(b).alias("dst")) for a in domain for b in domain])).alias("c")).select(group, "c.src", "c.dst")
-    return cells.join(edges, [group, "src", "dst"], "left").select(group, "src", "dst", F.coalesce("weight", F.lit(0)).cast("long").alias("weight"))
+    pairs = F.array(*[F.struct(F.lit(a).alias("src"), F.lit(b).alias("dst")) for a in domain for b in domain])
+    cells = groups.select(group).distinct().select(group, F.explode(pairs).alias("c")).select(group, "c.src", "c.dst")
+    weight = F.coalesce("weight", F.lit(0)).cast("long").alias("weight")
+    return cells.join(edges, [group, "src", "dst"], "left").select(group, "src", "dst", weight)
 
 
 def _matrix(edges: DataFrame, domain: list[str], name: str) -> DataFrame:
     """Nested map and ordered edge list of a transition table."""
-    rank = lambda c: F.array_position(F.array(*map(F.lit, domain)), c)
-    e = edges.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct(rank(F.col("src")).alias("i"), rank(F.col("dst")).alias("j"), F.col("src").alias("source"), F.col("dst").alias("target"), "weight"))).alias("e"))
-    flat = F.map_from_entries(F.transform("e", lambda x: F.struct(F.concat_ws("\u0001", x["source"], x["target"]).alias("k"), x["weight"].alias("v"))))
-    dense = F.create_map(*[y for a in domain for y in (F.lit(a), F.create_map(*[z for b in domain for z in (F.lit(b), F.coalesce(F.try_element_at("m", F.lit(f"{a}\u0001{b}")), F.lit(0)).cast("long"))]))])
-    return e.withColumn("m", flat).select(KEY, dense.alias(f"{name}_transition_matrix"), F.transform("e", lambda x: F.struct(x["source"].alias("source"), x["target"].alias("target"), x["weight"].alias("weight"))).alias(f"{name}_transition_edges"))
-
-
-def workflow_dynamics(facts: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Switches, loopbacks, matrices, percentages, security mentions. ``labelled``: (transcript_id, turn_idx, phase)."""
-    x = facts.select(KEY, "turn_idx", "_block", "speaker", has_term(F.col("norm"), SECURITY).alias("sec"), has_term(F.col("norm"), DEPENDENCIES).alias("dep")).join(labelled, [KEY, "turn_idx"])
-    x = next_row(x, KEY, "turn_idx", F.col("phase"), "next_phase")
-    rank = F.create_map(*[F.lit(v) for kv in RANKS.items() for v in kv])
-    r = lambda c: F.coalesce(F.try_element_at(rank, F.col(c)), F.lit(0))
-    loop = F.col("next_phase").isNotNull() & (r("next_phase") < r("phase")) & (F.col("next_phase") != "discussion")
+    rank = lambda c: F.array_position(F.array(*map(F.lit, domain)), F.col(c))
+    edge = F.struct(rank("src").alias("i"), rank("dst").alias("j"), F.col("src").alias("source"), F.col("dst").alias("target"), "weight")
+    e = edges.groupBy(KEY).agg(F.sort_array(F.collect_list(edge)).alias("e"))
+    cell = lambda x: F.struct(F.concat_ws("\u0001", x["source"], x["target"]).alias("k"), x["weight"].alias("v"))
+    at = lambda a, b: F.coalesce(F.try_element_at("m", F.lit(f"{a}\u0001{b}")), F.lit(0)).cast("long")
+    row = lambda a: F.create_map(*[y for b in domain for y in (F.lit(b), at(a, b))])
+    dense = F.create_map(*[y for a in domain for y in (F.lit(a), row(a))])
+    told = F.transform("e", lambda x: F.struct(x["source"].alias("source"), x["target"].alias("target"), x["weight"].alias("weight")))
+    e = e.withColumn("m", F.map_from_entries(F.transform("e", cell)))
+    return e.select(KEY, dense.alias(f"{name}_transition_matrix"), told.alias(f"{name}_transition_edges"))
+
+
+def phase_dynamics(labelled: DataFrame) -> DataFrame:
+    """Switches, their rate, loopbacks and the share of each phase over (transcript_id, turn_idx, _block, phase)."""
+    x = next_row(labelled.select(KEY, "turn_idx", "_block", "phase"), KEY, "turn_idx", F.col("phase"), "nxt")
+
+    def rank(c: str) -> Column:
+        out = F.lit(None).cast("int")
+        for p, n in RANKS.items():
+            out = F.when(F.col(c) == p, n).otherwise(out)
+        return out
+
+    loop = (rank("nxt") < rank("phase")) & (F.col("nxt") != "discussion")
     a = x.groupBy(KEY).agg(
-        F.count("*").alias("_n"), _count(F.col("next_phase").isNotNull() & (F.col("next_phase") != F.col("phase"))).alias("context_switch_count"), _count(loop).alias("phase_loopback_count"),
-        _count(F.col("sec")).alias("security_discussion_count"), _count(F.col("dep")).alias("insecure_dependency_mention_count"), *[_count(F.col("phase") == p).alias(f"_{p}") for p in PHASES],
+        F.count("*").alias("_n"), _count(F.col("nxt") != F.col("phase")).alias("context_switch_count"),
+        _count(loop).alias("phase_loopback_count"), *[_count(F.col("phase") == p).alias(f"_{p}") for p in PHASES],
     )
-    shares = [half_even(F.col(f"_{p}") / F.col("_n") * 100.0, 2).alias(f"{p}_phase_percentage") for p in PHASES]
-    rate = F.when(F.col("_n") > 1, half_even(F.col("context_switch_count") / F.greatest(F.col("_n") - 1, F.lit(1)), 3)).otherwise(F.lit(0.0)).alias("phase_switch_rate")
-    base = a.select(KEY, "context_switch_count", rate, "phase_loopback_count", "security_discussion_count", "insecure_dependency_mention_count", *shares)
-    known = F.when(F.col("speaker").isin(*SPEAKERS), F.col("speaker")).otherwise("Unknown")
-    speakers = _matrix(transitions(x.withColumn("speaker", known), KEY, "turn_idx", "speaker"), SPEAKERS, "speaker")
-    phases = _matrix(transitions(x, KEY, "turn_idx", "phase"), PHASES, "phase")
-    return base.join(phases, KEY, "left").join(speakers, KEY, "left")
-
+    n, switches = F.col("_n"), F.col("context_switch_count")
+    rate = F.when(n > 1, half_even(switches / F.greatest(n - 1, F.lit(1)), 3)).otherwise(F.lit(0.0)).alias("phase_switch_rate")
+    shares = [half_even(F.col(f"_{p}") / n * 100.0, 2).alias(f"{p}_phase_percentage") for p in PHASES]
+    return a.select(KEY, "context_switch_count", rate, "phase_loopback_count", *shares)
 
-def block_facts(facts: DataFrame) -> DataFrame:
-    """One row per AI code block with its language class, line measures and analysis of Python candidates."""
-    b = facts.where("speaker = 'AI'").select(KEY, "turn_idx", F.posexplode("blocks").alias("block_no", "b")).select(KEY, "turn_idx", "block_no", F.col("b.code").alias("code"), F.col("b.language").alias("language"))
-    b = b.withColumn("python", is_python_candidate(F.col("code"), F.col("language")))
-    done = b.where("python").withColumn("a", analyze_python("code"))
-    rest = b.where("NOT python").withColumn("a", F.lit(None).cast(done.schema["a"].dataType))
-    return done.unionByName(rest)
 
+def known_speakers(facts: DataFrame) -> DataFrame:
+    """Speakers outside the domain count as Unknown."""
+    known = F.when(F.col("speaker").isin(*SPEAKERS), F.col("speaker")).otherwise("Unknown")
+    return facts.select(KEY, "turn_idx", "_block", known.alias("speaker"))
 
-def code_metrics(facts: DataFrame) -> DataFrame:
-    """Code quality and security of the AI blocks, and secrets of all turns.
 
-    Secrets are counted turn by turn, except that a bearer mark at the very end of a turn with its token
-    in the next is not joined across turns.
-    """
-    lines = F.split(F.col("code"), r"\r\n|\n|\r")
-    stripped = F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
-    risk = line_risks(F.col("code"))
-    parsed = F.coalesce(F.col("a.parsed"), F.lit(False))
-    b = block_facts(facts).withColumns({"parsed": parsed, "n_lines": F.size(F.filter(stripped, lambda x: x != "")), "all_lines": F.size(lines), "long_lines": F.size(F.filter(lines, lambda x: F.length(F.regexp_replace(x, r"(?U)\s+$", "")) > 120)), "comments": F.size(F.filter(stripped, lambda x: x.startswith("#")))})
-    b = b.withColumns({f"r_{k}": F.when(F.col("parsed"), F.col(f"a.{k}")).otherwise(risk[k]) for k in RISKS})
-    s = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    a = b.groupBy(KEY).agg(
-        F.count("*").alias("ai_code_block_count"), s("n_lines").alias("ai_code_line_count"), _count(F.col("python")).alias("python_candidate_block_count"), _count(F.col("parsed")).alias("parseable_python_block_count"),
-        F.avg(F.when(F.col("parsed"), F.col("a.complexity"))).alias("_cx"), F.max(F.when(F.col("parsed"), F.col("a.complexity"))).alias("_cm"), s("a.functions").alias("function_count"), s("a.lines").alias("_fl"), s("a.typed").alias("_ty"), s("a.documented").alias("_do"), s("a.tries").alias("_tr"),
-        s("long_lines").alias("long_line_count"), s("comments").alias("_co"), s("all_lines").alias("_al"), F.count_if(~F.col("parsed")).alias("_line_path"), *[s(f"r_{k}").alias(f"risk_{k}") for k in RISKS],
-    )
-    langs = block_facts(facts).where("language IS NOT NULL").groupBy(KEY, "language").agg(F.count("*").alias("n")).groupBy(KEY).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("language", "n")))).alias("declared_code_language_breakdown"))
-    secrets = facts.groupBy(KEY).agg(s(secret_count(F.col("content"))).alias("secret_exposure_count"))
-    x = secrets.join(a, KEY, "left").join(langs, KEY, "left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    risks = [z(f"risk_{k}") for k in RISKS]
-    total = sum(risks[1:], risks[0])
-    entries = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), z(f"risk_{k}").alias("v")) for k in sorted(RISKS)]), lambda e: (e["v"] > 0) | (z("_line_path") > 0))
-    high = F.transform(F.filter(entries, lambda e: e["v"] > 0), lambda e: F.struct(e["k"].alias("type"), e["v"].alias("count"), F.when(e["k"] == "weak_hashing", "medium").otherwise("high").alias("severity")))
-    secret_finding = F.when(z("secret_exposure_count") > 0, F.array(F.struct(F.lit("secret_exposure").alias("type"), z("secret_exposure_count").alias("count"), F.lit("critical").alias("severity")))).otherwise(F.slice(high, 1, 0))
-    cand, funcs = z("python_candidate_block_count"), z("function_count")
-    return x.select(
-        KEY, z("ai_code_block_count").alias("ai_code_block_count"), z("ai_code_line_count").alias("ai_code_line_count"), cand.alias("python_candidate_block_count"), (z("ai_code_block_count") - cand).alias("non_python_code_block_count"), z("parseable_python_block_count").alias("parseable_python_block_count"),
-        ratio(z("parseable_python_block_count"), cand, 3).alias("python_syntax_valid_ratio"), F.coalesce(half_even(F.col("_cx"), 2), F.lit(0.0)).alias("avg_estimated_cyclomatic_complexity"), z("_cm").alias("max_estimated_cyclomatic_complexity"), funcs.alias("function_count"),
-        ratio(z("_fl"), funcs, 2, 0.0).alias("avg_function_length"), ratio(z("_ty"), funcs, 3).alias("type_hint_coverage"), ratio(z("_do"), funcs, 3).alias("docstring_coverage"), ratio(z("_tr"), F.greatest(cand, F.lit(1)), 3, 0.0).alias("exception_handling_density"), z("long_line_count").alias("long_line_count"),
-        ratio(z("_co"), F.greatest(z("ai_code_line_count"), F.lit(1)), 3, 0.0).alias("comment_density"), F.coalesce("declared_code_language_breakdown", F.create_map().cast("map<string,bigint>")).alias("declared_code_language_breakdown"),
-        (total + z("secret_exposure_count")).alias("security_risk_count"), total.alias("insecure_code_pattern_count"), z("secret_exposure_count").alias("secret_exposure_count"), ratio(total + z("secret_exposure_count"), F.greatest(z("ai_code_block_count"), F.lit(1)), 3, 0.0).alias("security_issue_density"),
-        F.map_from_entries(entries).alias("security_risk_breakdown"), F.concat(high, secret_finding).alias("security_findings"),
-    )
+def language_breakdown(facts: DataFrame) -> DataFrame:
+    """(transcript_id, declared_code_language_breakdown): blocks by declared language, in name order."""
+    x = facts.select(KEY, F.explode("languages").alias("language")).groupBy(KEY, "language").agg(F.count("*").alias("n"))
+    entries = F.sort_array(F.collect_list(F.struct("language", "n")))
+    return x.groupBy(KEY).agg(F.map_from_entries(entries).alias("declared_code_language_breakdown"))
 
 
 def workflow_findings(m: DataFrame) -> DataFrame:
     """Adds the six threshold findings."""
+    #: The sentences and their thresholds.
     rules = [
-        (F.col("security_risk_count") > 0, "Security risks detected in transcript code/content. Review security_findings for high-impact patterns."),
+        (
+            F.col("security_risk_count") > 0,
+            "Security risks detected in transcript code/content. Review security_findings for high-impact patterns.",
+        ),
         (F.col("context_retention_score") < 25.0, "Low context retention between user prompts and AI responses suggests alignment drift."),
         (F.col("acceptance_rate") < 0.35, "Low suggestion acceptance indicates poor first-pass output quality or unclear prompts."),
-        (F.col("prompt_specificity_score") < 45.0, "Prompt specificity is low; adding constraints and acceptance criteria should improve outcomes."),
+        (
+            F.col("prompt_specificity_score") < 45.0,
+            "Prompt specificity is low; adding constraints and acceptance criteria should improve outcomes.",
+        ),
         (F.col("phase_switch_rate") > 0.75, "High phase switching suggests context fragmentation and potential workflow thrashing."),
-        (F.col("python_syntax_valid_ratio") < 0.7, "A significant portion of Python-targeted code snippets appears non-parseable; increase validation before acceptance."),
+        (
+            F.col("python_syntax_valid_ratio") < 0.7,
+            "A significant portion of Python-targeted code snippets appears non-parseable; increase validation before acceptance.",
+        ),
     ]
     return m.withColumn("workflow_findings", F.filter(F.array(*[F.when(c, F.lit(t)) for c, t in rules]), lambda x: x.isNotNull()))
 
 
-Evaluator = Callable[[DataFrame, DataFrame], DataFrame]
-#: The default evaluators in order; each takes (turn facts, phase labels) and returns one row per transcript.
-DEFAULT_EVALUATORS: list[tuple[str, Evaluator]] = [
-    ("conversation", lambda f, p: conversation_metrics(f)),
-    ("latency", lambda f, p: response_latency(f)),
-    ("suggestions", lambda f, p: suggestion_outcomes(f)),
-    ("retention", lambda f, p: context_retention(f)),
-    ("specificity", lambda f, p: prompt_specificity(f)),
-    ("workflow_dynamics", workflow_dynamics),
-    ("code", lambda f, p: code_metrics(f)),
-]
+# --- all ------------------------------------------------------------------------------------------
 
+#: An added evaluator: (turn facts with content and blocks, phase labels, metrics so far) -> one row per transcript.
+Evaluator = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
 
-def compute_metrics(turns: DataFrame, phases: bool = True, extra: list[tuple[str, Evaluator]] | None = None) -> DataFrame:
-    """All metrics of normalised turns, one row per transcript.
 
-    ``extra`` evaluators are joined on; a metric name that exists already is an error.
+def pandas_evaluator(function: Callable[[pd.DataFrame], dict], schema: str) -> Evaluator:
+    """An evaluator in Python: ``function`` gets one transcript's turns in order and returns its metrics.
+
+    A transcript must fit into one task, so this is for measures that columns and parts cannot express.
     """
-    # Seven evaluators read the facts: they are written once to the shared checkpoint folder, which also
-    # keeps the joined plan small and survives lost executors.
-    ensure_checkpoint_dir(turns.sparkSession)
-    facts = turn_facts(turns).checkpoint()
+
+    def run(facts: DataFrame, labelled: DataFrame, metrics: DataFrame) -> DataFrame:
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame([{KEY: pdf[KEY].iloc[0], **function(pdf.sort_values("turn_idx"))}])
+
+        return facts.drop("code").groupBy(KEY).applyInPandas(one, f"{KEY} long, {schema}")
+
+    return run
+
+
+def metrics_over(facts: DataFrame, phases: bool = True) -> DataFrame:
+    """The default metrics of turn facts, one row per transcript."""
     labelled = label_phases(facts, phases)
-    out = None
-    for name, evaluator in [*DEFAULT_EVALUATORS, *(extra or [])]:
-        part = evaluator(facts, labelled)
-        if out is not None and (twice := (set(out.columns) & set(part.columns)) - {KEY}):
+    out = metrics_of(facts, *(make() for make in PARTS.values()))
+    out = out.join(phase_dynamics(labelled), KEY, "left")
+    out = out.join(_matrix(transitions(labelled, KEY, "turn_idx", "phase"), PHASES, "phase"), KEY, "left")
+    out = out.join(_matrix(transitions(known_speakers(facts), KEY, "turn_idx", "speaker"), SPEAKERS, "speaker"), KEY, "left")
+    out = out.join(language_breakdown(facts), KEY, "left")
+    none = F.create_map().cast("map<string,bigint>")
+    return workflow_findings(out.withColumn("declared_code_language_breakdown", F.coalesce("declared_code_language_breakdown", none)))
+
+
+def kept_facts(turns: DataFrame, extra: bool = False) -> DataFrame:
+    """The facts of each turn, written once to the shared checkpoint folder: a small part of the turns, read by several passes."""
+    ensure_checkpoint_dir(turns.sparkSession)
+    kept = FACTS + (["content", "blocks"] if extra else [])
+    return delivered_once(turn_facts(turns).select(*kept), KEY, "turn_idx").checkpoint()
+
+
+def compute_metrics(turns: DataFrame, phases: bool = True, extra: list[tuple[str, Evaluator]] | None = None, facts: DataFrame | None = None) -> DataFrame:
+    """All metrics of normalised turns (with repeated deliveries or without), one row per transcript.
+
+    ``extra`` evaluators run in order and may read the metrics before them; a metric name that exists
+    already is an error.
+    """
+    facts = facts if facts is not None else kept_facts(turns, bool(extra))
+    out = metrics_over(facts, phases)
+    for name, evaluator in extra or []:
+        part = evaluator(facts, label_phases(facts, phases), out)
+        if twice := (set(out.columns) & set(part.columns)) - {KEY}:
             raise ValueError(f"{name} repeats metrics: {', '.join(sorted(twice))}")
-        out = part if out is None else out.join(part, KEY, "left")
-    return workflow_findings(out)
+        out = out.join(part, KEY, "left")
+    return out

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from turnwise.functions.text import filled_lines
-from turnwise.operators.sequence import with_block, with_position
+from turnwise.operators.sequence import delivered_once, with_block
 
 #: Fixed values of the data model.
-SPEAKER_ALIASES = {"User": ["user", "human", "developer"], "AI": ["assistant", "ai", "copilot", "claude", "chatgpt", "model"], "System": ["system"], "Tool": ["tool", "function"]}
+SPEAKER_ALIASES = {
+    "User": ["user", "human", "developer"],
+    "AI": ["assistant", "ai", "copilot", "claude", "chatgpt", "model"],
+    "System": ["system"],
+    "Tool": ["tool", "function"],
+}
 SPEAKERS = ["User", "AI", "Tool", "System", "Unknown"]
 CODE_MARKERS = ["def ", "class ", "import ", "from ", "if ", "for ", "while ", "return ", "try:", "except "]
 SENSITIVE = [
@@ -54,7 +59,10 @@ def fenced_blocks(text: Column) -> Column:
     """array<struct<code, language>> of the fenced blocks; language is lower case or null."""
     codes = F.regexp_extract_all(text, F.lit(FENCE), F.lit(2))
     languages = F.regexp_extract_all(text, F.lit(FENCE), F.lit(1))
-    both = F.transform(F.arrays_zip(codes.alias("c"), languages.alias("l")), lambda z: F.struct(F.regexp_replace(z["c"], r"(?U)^\s+|\s+$", "").alias("code"), F.nullif(F.lower(z["l"]), F.lit("")).alias("language")))
+    code = lambda z: F.regexp_replace(z["c"], r"(?U)^\s+|\s+$", "").alias("code")
+    both = F.transform(
+        F.arrays_zip(codes.alias("c"), languages.alias("l")), lambda z: F.struct(code(z), F.nullif(F.lower(z["l"]), F.lit("")).alias("language"))
+    )
     return F.filter(both, lambda b: b["code"] != "")
 
 
@@ -89,21 +97,27 @@ def unfiltered(df: DataFrame) -> DataFrame:
     return df.withColumn("_n", F.monotonically_increasing_id())
 
 
-def normalize_turns(turns: DataFrame, strip_sensitive: bool = False, keep_system: bool = False, token: str = "[REDACTED]") -> DataFrame:
-    """(transcript_id, turn_idx, pos, _block, speaker, content, blocks, stored_phase) of a turn table.
+def normalize_turns(
+    turns: DataFrame, strip_sensitive: bool = False, keep_system: bool = False, token: str = "[REDACTED]", once: bool = True
+) -> DataFrame:
+    """(transcript_id, turn_idx, _block, speaker, content, blocks, timestamp, stored_phase, metadata) of a turn table.
 
-    Delivered once by key; turns without transcript or number are left out; system turns are dropped
-    unless kept, and turns with neither content nor blocks.  Stored blocks are used where there are any,
-    else they are read from the content.  ``pos`` is the dense position after the filters.
+    Turns without transcript or number are left out; system turns are dropped unless kept, and turns with
+    neither content nor blocks.  Stored blocks are used where there are any, else they are read from the
+    content.  Of a turn delivered several times one copy stays, unless ``once`` is off because the caller
+    makes small facts of the turns first and de-duplicates those.
     """
-    x = turns.where("transcript_id IS NOT NULL AND turn_idx IS NOT NULL").select("transcript_id", "turn_idx", "speaker", "content", "code_blocks", F.col("phase").alias("stored_phase")).dropDuplicates(["transcript_id", "turn_idx"])
+    x = turns.where("transcript_id IS NOT NULL AND turn_idx IS NOT NULL")
+    told = [c if c in turns.columns else F.lit(None).alias(c) for c in ("timestamp", "metadata")]
+    x = x.select("transcript_id", "turn_idx", "speaker", "content", "code_blocks", F.col("phase").alias("stored_phase"), *told)
     content = normal_content(F.col("content"))
     x = x.withColumns({"speaker": normal_speaker(F.col("speaker")), "content": redact(content, token) if strip_sensitive else content})
     stored = F.filter("code_blocks", lambda b: F.coalesce(b["code"], F.lit("")) != "")
-    stored = F.transform(stored, lambda b: F.struct(b["code"].alias("code"), F.nullif(F.lower(b["language"]), F.lit("")).alias("language")))
+    language = lambda b: F.nullif(F.lower(b["language"]), F.lit("")).alias("language")
+    stored = F.transform(stored, lambda b: F.struct(b["code"].alias("code"), language(b)))
     x = x.withColumn("blocks", F.when(F.size("code_blocks") > 0, stored).otherwise(code_blocks(F.col("content")))).drop("code_blocks")
     x = unfiltered(x)
     if not keep_system:
         x = x.where("speaker <> 'System'")
-    x = x.where("content <> '' OR size(blocks) > 0")
-    return with_position(with_block(x.drop("_n"), "turn_idx"), "transcript_id", "turn_idx")
+    x = with_block(x.where("content <> '' OR size(blocks) > 0").drop("_n"), "turn_idx")
+    return delivered_once(x, "transcript_id", "turn_idx") if once else x

@@ -1,30 +1,37 @@
-"""Plain-text transcripts into turns: gaps and islands over lines."""
+"""Plain-text transcripts into turns, inside each row: no shuffle and no group over a text's lines."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 #: An optional time in brackets, a name of 2 to 30 characters, a colon or dash, and the rest.
-SPEAKER_LINE = r"^\s*(?:\[([^\]]+)\]\s*)?([a-zA-Z0-9_\-\s]{2,30}?)\s*[:\-]\s*(.*)$"
+SPEAKER_LINE = r"(?dU)^\s*(?:\[([^\]]+)\]\s*)?([a-zA-Z0-9_\-\s]{2,30}?)\s*[:\-]\s*(.*)$"
+#: A noncharacter of Unicode, put before each line that opens a turn; it is dropped from the texts themselves.
+_MARK = "﷐"
 
 
 def segment_text(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, turn_no, speaker_raw, timestamp, content): a matching line opens a turn, others continue it.
 
     Lines before the first match are dropped; a text without a match is one turn of ``Unknown``; null or
-    blank texts have no turns.  A window holds the lines of one text only.
+    blank texts have no turns.  Contents are stripped of outer white space.
     """
-    lines = texts.select(key, F.posexplode(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")).alias("line_no", "line"))
-    opens = F.regexp_extract("line", SPEAKER_LINE, 0) != ""
-    w = Window.partitionBy(key).orderBy("line_no")
-    x = lines.withColumn("opens", opens.cast("int")).withColumn("turn_no", F.sum("opens").over(w))
-    first = F.when(F.col("opens") == 1, F.regexp_extract("line", SPEAKER_LINE, 3)).otherwise(F.col("line"))
-    turns = x.where("turn_no > 0").groupBy(key, "turn_no").agg(
-        F.max(F.when(F.col("opens") == 1, F.regexp_extract("line", SPEAKER_LINE, 2))).alias("speaker_raw"),
-        F.max(F.when(F.col("opens") == 1, F.nullif(F.regexp_extract("line", SPEAKER_LINE, 1), F.lit("")))).alias("timestamp"),
-        F.sort_array(F.collect_list(F.struct("line_no", first.alias("t")))).alias("parts"),
-    )
-    turns = turns.select(key, (F.col("turn_no") - 1).cast("long").alias("turn_no"), F.trim("speaker_raw").alias("speaker_raw"), "timestamp", F.array_join("parts.t", "\n").alias("content"))
-    whole = texts.where(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+", "") != "").join(turns.select(key).distinct(), key, "left_anti")
-    whole = whole.select(key, F.lit(0).cast("long").alias("turn_no"), F.lit("Unknown").alias("speaker_raw"), F.lit(None).cast("string").alias("timestamp"), F.regexp_replace(text, r"(?U)^\s+|\s+$", "").alias("content"))
-    return turns.unionByName(whole)
+    plain = F.regexp_replace(F.translate(F.col(text), _MARK, ""), "\r\n?", "\n")
+    marked = F.transform(F.split(plain, "\n"), lambda x: F.when(x.rlike(SPEAKER_LINE), F.concat(F.lit(_MARK), x)).otherwise(x))
+    parts = F.split(F.array_join(marked, "\n"), _MARK)
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+    def turn(part):
+        head = F.substring_index(part, "\n", 1)
+        group = lambda n: F.regexp_extract(head, SPEAKER_LINE, n)
+        rest = F.substring(part, F.length(head) + 1, F.length(part))
+        return F.struct(
+            strip(group(2)).alias("speaker_raw"), F.nullif(group(1), F.lit("")).alias("timestamp"), strip(F.concat(group(3), rest)).alias("content")
+        )
+
+    whole = F.struct(F.lit("Unknown").alias("speaker_raw"), F.lit(None).cast("string").alias("timestamp"), strip(plain).alias("content"))
+    none = F.filter(F.array(whole), lambda w: w["content"] != "")
+    turns = F.when(F.size("_parts") > 1, F.transform(F.slice("_parts", 2, F.size("_parts")), turn)).otherwise(none)
+    x = texts.where(F.col(text).isNotNull()).withColumn("_parts", parts)
+    x = x.select(key, F.posexplode(turns).alias("turn_no", "_t"))
+    return x.select(key, F.col("turn_no").cast("long").alias("turn_no"), "_t.speaker_raw", "_t.timestamp", "_t.content")

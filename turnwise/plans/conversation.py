@@ -1,17 +1,17 @@
-"""Queries of the conversation operators over the driver's tables, with the SQL that says the same."""
+"""Queries of the conversation operators over the driver's tables; the SQL that says the same is in ``conversation_sql``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnwise.functions.text import half_even
 from turnwise.operators import metrics as M
-from turnwise.operators.codeintel import LINE_RISKS, line_risks, secret_count
-from turnwise.operators.normalize import SENSITIVE, SPEAKERS, normal_content, normal_speaker, normalize_turns, redact, unfiltered
+from turnwise.operators.codeintel import line_risks
+from turnwise.operators.normalize import SPEAKERS, code_blocks, normal_content, normal_speaker, normalize_turns, redact
 from turnwise.operators.phases import PHASES, label_phases, timeline
-from turnwise.operators.scoring import portfolio_summary, score_rows
+from turnwise.operators.report import edge_rows, graph_text, matrix_cells
+from turnwise.operators.scoring import portfolio_summary, score, score_rows
 from turnwise.operators.segment import segment_text
-from turnwise.operators.sequence import next_row, with_block, with_position
+from turnwise.operators.sequence import delivered_once, next_row, with_position
 from turnwise.plans.evaluate import evaluate
 from turnwise.session import ensure_checkpoint_dir
 from turnwise.sources.tables import table
@@ -19,50 +19,82 @@ from turnwise.sources.tables import table
 KEY = "transcript_id"
 
 
-def _base(spark: SparkSession, base: str) -> DataFrame:
-    """Turns delivered once, normal speakers and content, without system and blank turns."""
-    x = table(spark, base, "turns").where("transcript_id IS NOT NULL AND turn_idx IS NOT NULL").select(KEY, "turn_idx", "speaker", "content", "phase").dropDuplicates([KEY, "turn_idx"])
-    x = unfiltered(x.withColumns({"speaker": normal_speaker(F.col("speaker")), "content": normal_content(F.col("content"))})).where("speaker <> 'System' AND content <> ''")
-    return with_position(with_block(x.drop("_n"), "turn_idx"), KEY, "turn_idx")
+def _turns(spark: SparkSession, base: str) -> DataFrame:
+    """Normalised turns, without system and empty ones, as delivered."""
+    return normalize_turns(table(spark, base, "turns"), once=False)
 
 
-def _facts(spark: SparkSession, base: str) -> DataFrame:
-    return M.turn_facts(_base(spark, base).withColumn("blocks", F.array().cast("array<struct<code:string,language:string>>")))
+def _facts(spark: SparkSession, base: str, *reads: str) -> DataFrame:
+    """The named facts of each turn, made in one scan; only they are shuffled."""
+    facts = M.turn_facts(_turns(spark, base), list(reads)).select(KEY, "turn_idx", "_block", *reads)
+    return delivered_once(facts, KEY, "turn_idx")
+
+
+def _metrics(spark: SparkSession, base: str, *names: str) -> DataFrame:
+    parts = [M.PARTS[n]() for n in names]
+    return M.metrics_of(_facts(spark, base, *dict.fromkeys(r for p in parts for r in p.reads)), *parts)
 
 
 def conversation_counts(spark, base):
-    return M.conversation_metrics(_facts(spark, base)).select(KEY, "total_turns", "user_turns", "ai_turns", "tool_turns", "ai_to_user_turn_ratio", "user_word_count", "ai_word_count", "estimated_user_tokens", "estimated_ai_tokens", "estimated_total_tokens", "avg_user_prompt_words", "avg_ai_response_words", "tool_call_turn_count")
+    return _metrics(spark, base, "conversation")
 
 
 def suggestion_outcomes(spark, base):
-    return M.suggestion_outcomes(_facts(spark, base))
+    return _metrics(spark, base, "suggestions")
 
 
 def response_latency(spark, base):
-    return M.response_latency(_facts(spark, base))
+    return _metrics(spark, base, "latency")
 
 
 def context_retention(spark, base):
-    return M.context_retention(_facts(spark, base))
+    return _metrics(spark, base, "retention")
 
 
 def prompt_specificity(spark, base):
-    return M.prompt_specificity(_facts(spark, base))
+    return _metrics(spark, base, "specificity")
+
+
+def mention_counts(spark, base):
+    """Turns that speak of security, and of packages with a bad history."""
+    return _metrics(spark, base, "mentions")
+
+
+def secret_counts(spark, base):
+    return _metrics(spark, base, "secrets")
+
+
+def code_turns(spark, base):
+    """Which turns count as code."""
+    return _facts(spark, base, "speaker", "is_code").select(KEY, "turn_idx", "speaker", "is_code")
+
+
+def turn_positions(spark, base):
+    """The dense position of each turn that is left after the filters."""
+    return with_position(_facts(spark, base), KEY, "turn_idx").select(KEY, "turn_idx", "pos")
 
 
 def speaker_transitions(spark, base):
-    return M.transitions(_base(spark, base), KEY, "turn_idx", "speaker").withColumn("weight", F.col("weight").cast("long"))
+    return M.transitions(_facts(spark, base, "speaker"), KEY, "turn_idx", "speaker")
 
 
 def speaker_transition_matrix(spark, base):
-    b = _base(spark, base)
-    return M.dense_transitions(M.transitions(b, KEY, "turn_idx", "speaker"), b, KEY, SPEAKERS)
+    known = M.known_speakers(_facts(spark, base, "speaker"))
+    return M.dense_transitions(M.transitions(known, KEY, "turn_idx", "speaker"), known, KEY, SPEAKERS)
+
+
+def phase_labels(spark, base):
+    return label_phases(_facts(spark, base, "step")).select(KEY, "turn_idx", "phase")
+
+
+def phase_timelines(spark, base):
+    return timeline(phase_labels(spark, base))
 
 
 def phase_distribution(spark, base):
-    """Shares of the stored phases."""
-    x = _base(spark, base).where("phase IS NOT NULL").groupBy(KEY).agg(F.count("*").alias("n"), *[F.count_if(F.col("phase") == p).alias(f"_{p}") for p in PHASES])
-    return x.select(KEY, *[half_even(F.col(f"_{p}") / F.col("n") * 100.0, 2).alias(f"{p}_phase_percentage") for p in PHASES])
+    """Shares of the labelled phases."""
+    x = M.phase_dynamics(label_phases(_facts(spark, base, "step")))
+    return x.select(KEY, *[f"{p}_phase_percentage" for p in PHASES])
 
 
 def phase_unpivot(spark, base):
@@ -72,30 +104,56 @@ def phase_unpivot(spark, base):
 
 
 def phase_switches(spark, base):
-    """Switches and loopbacks of the stored phases."""
-    x = next_row(_base(spark, base).where("phase IS NOT NULL"), KEY, "turn_idx", F.col("phase"), "nxt")
-    rank = lambda c: F.array_position(F.array(*map(F.lit, ["discussion", "planning", "implementation", "debugging", "testing", "review"])), F.col(c))
-    return x.groupBy(KEY).agg(F.count_if(F.col("nxt") != F.col("phase")).cast("long").alias("context_switch_count"), F.count_if((rank("nxt") < rank("phase")) & (F.col("nxt") != "discussion")).cast("long").alias("phase_loopback_count"))
+    """Switches, their rate and loopbacks of the labelled phases."""
+    x = M.phase_dynamics(label_phases(_facts(spark, base, "step")))
+    return x.select(KEY, "context_switch_count", "phase_switch_rate", "phase_loopback_count")
 
 
-def secret_counts(spark, base):
-    return _base(spark, base).groupBy(KEY).agg(F.sum(secret_count(F.col("content"))).cast("long").alias("secret_exposure_count"))
+def phase_transition_matrix(spark, base):
+    x = label_phases(_facts(spark, base, "step"))
+    return M.dense_transitions(M.transitions(x, KEY, "turn_idx", "phase"), x, KEY, PHASES)
 
 
 def redacted_turns(spark, base):
     """Content with the sensitive patterns replaced."""
-    return _base(spark, base).select(KEY, "turn_idx", redact(F.col("content")).alias("content"))
+    x = normalize_turns(table(spark, base, "turns"))
+    return x.select(KEY, "turn_idx", redact(F.col("content")).alias("content"))
+
+
+def extracted_blocks(spark, base):
+    """Code blocks read from the content of each turn: the fenced ones, else the whole text where it looks like code."""
+    x = table(spark, base, "turns").where("transcript_id IS NOT NULL AND turn_idx IS NOT NULL").dropDuplicates([KEY, "turn_idx"])
+    x = x.select(KEY, "turn_idx", normal_content(F.col("content")).alias("content"))
+    x = x.select(KEY, "turn_idx", F.posexplode(code_blocks(F.col("content"))).alias("block_no", "b"))
+    return x.select(KEY, "turn_idx", F.col("block_no").cast("long").alias("block_no"), "b.code", "b.language")
 
 
 def line_risk_counts(spark, base):
-    x = table(spark, base, "turns").where("transcript_id IS NOT NULL AND turn_idx IS NOT NULL").select(KEY, "turn_idx", "code_blocks").dropDuplicates([KEY, "turn_idx"])
-    b = x.select(KEY, F.explode("code_blocks").alias("b")).select(KEY, F.coalesce("b.code", F.lit("")).alias("code"))
-    return b.groupBy(KEY).agg(*[F.sum(c).cast("long").alias(k) for k, c in line_risks(F.col("code")).items()])
+    """Risk patterns line by line over the code of all AI turns."""
+    x = normalize_turns(table(spark, base, "turns")).where("speaker = 'AI'")
+    x = x.select(KEY, F.explode("blocks.code").alias("code"))
+    return x.groupBy(KEY).agg(*[F.sum(c).cast("long").alias(k) for k, c in line_risks(F.col("code")).items()])
+
+
+def code_block_counts(spark, base):
+    """The measures of AI code that need no syntax tree."""
+    told = [
+        "ai_code_block_count", "ai_code_line_count", "python_candidate_block_count", "non_python_code_block_count", "long_line_count",
+        "comment_density",
+    ]
+    return _metrics(spark, base, "secrets", "code").select(KEY, *told)
+
+
+def language_breakdown(spark, base):
+    """Blocks by declared language, in long form."""
+    x = M.language_breakdown(_facts(spark, base, "languages"))
+    return x.select(KEY, F.explode("declared_code_language_breakdown").alias("language", "blocks"))
 
 
 def event_transitions(spark, base):
-    """Adjacent event types per user: the ordered-sequence operators on the event stream."""
-    e = table(spark, base, "events").withColumn("_block", F.expr("unix_micros(CAST(ts AS TIMESTAMP)) div 2592000000000")).withColumn("o", F.struct("ts", "event_id"))
+    """Adjacent event types per user: the ordered-sequence operators on the event stream, in blocks of an hour."""
+    hour = F.expr("unix_micros(CAST(ts AS TIMESTAMP)) div 3600000000")
+    e = table(spark, base, "events").withColumn("_block", hour).withColumn("o", F.struct("ts", "event_id"))
     x = next_row(e.select("user_id", "o", "_block", "event_type"), "user_id", "o", F.col("event_type"), "dst").where("dst IS NOT NULL")
     return x.groupBy(F.col("event_type").alias("src"), "dst").agg(F.count("*").alias("weight"))
 
@@ -103,21 +161,12 @@ def event_transitions(spark, base):
 def segmented_documents(spark, base):
     """Document texts as plain-text transcripts: their turns, speakers normalised."""
     x = segment_text(table(spark, base, "documents").select("doc_id", "text"), "doc_id", "text")
-    return x.select("doc_id", "turn_no", normal_speaker(F.col("speaker_raw")).alias("speaker"), F.length("content").cast("long").alias("n_chars"))
-
-
-def phase_labels(spark, base):
-    # The labels read the turns three times, so they are written once.
-    ensure_checkpoint_dir(spark)
-    return label_phases(normalize_turns(table(spark, base, "turns")).select(KEY, "turn_idx", "_block", "speaker", "content", "blocks").checkpoint())
-
-
-def phase_timelines(spark, base):
-    return timeline(phase_labels(spark, base))
+    speaker = normal_speaker(F.col("speaker_raw")).alias("speaker")
+    return x.select("doc_id", "turn_no", speaker, F.length("content").cast("long").alias("n_chars"), "content")
 
 
 def code_quality(spark, base):
-    return M.code_metrics(M.turn_facts(normalize_turns(table(spark, base, "turns"))))
+    return _metrics(spark, base, "secrets", "code")
 
 
 def evaluations(spark, base):
@@ -132,83 +181,54 @@ def portfolio(spark, base):
     return portfolio_summary(evaluations(spark, base))
 
 
+def _of_text(spark, base) -> DataFrame:
+    """Scored metrics of the text alone: the evaluation of transcripts whose code is not looked into."""
+    facts = M.turn_facts(_turns(spark, base), [f for f in M.FACTS if f != "code"]).withColumn("code", F.lit(None).cast(M.CODE_TYPE))
+    ensure_checkpoint_dir(spark)
+    return score(M.metrics_over(delivered_once(facts.select(*M.FACTS), KEY, "turn_idx").checkpoint()))
+
+
+def text_scores(spark, base):
+    """Scores and confidences of the text alone, in long form."""
+    return score_rows(_of_text(spark, base)).select(KEY, "name", "score", "confidence", "value", "rationale")
+
+
+def text_advice(spark, base):
+    """Findings and recommendations of the text alone, one row each."""
+    x = _of_text(spark, base)
+    kinds = {"finding": "workflow_findings", "recommendation": "recommendations"}
+    parts = [x.select(KEY, F.lit(k).alias("kind"), F.posexplode(c).alias("n", "sentence")) for k, c in kinds.items()]
+    both = parts[0].unionByName(parts[1])
+    return both.select(KEY, "kind", F.col("n").cast("long").alias("n"), "sentence")
+
+
+def text_portfolio(spark, base):
+    """The summary over all transcripts, of the text alone."""
+    return portfolio_summary(_of_text(spark, base))
+
+
+def phase_edges(spark, base):
+    """Phase transitions of each transcript by falling weight, with their rank."""
+    return edge_rows(_of_text(spark, base))
+
+
+def phase_matrix_cells(spark, base):
+    """The phase matrix of the evaluation, melted."""
+    return matrix_cells(_of_text(spark, base))
+
+
+def phase_graphs(spark, base):
+    """The phase transitions as text for a graph renderer."""
+    return graph_text(_of_text(spark, base))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        conversation_counts, suggestion_outcomes, response_latency, context_retention, prompt_specificity, speaker_transitions, speaker_transition_matrix, phase_distribution, phase_unpivot, phase_switches,
-        secret_counts, redacted_turns, line_risk_counts, event_transitions, segmented_documents, phase_labels, phase_timelines, code_quality, evaluations, score_dimensions, portfolio,
+        conversation_counts, suggestion_outcomes, response_latency, context_retention, prompt_specificity, mention_counts, secret_counts,
+        code_turns, turn_positions, speaker_transitions, speaker_transition_matrix, phase_labels, phase_timelines, phase_distribution,
+        phase_unpivot, phase_switches, phase_transition_matrix, redacted_turns, extracted_blocks, line_risk_counts, code_block_counts,
+        language_breakdown, event_transitions, segmented_documents, code_quality, evaluations, score_dimensions, portfolio, text_scores,
+        text_advice, text_portfolio, phase_edges, phase_matrix_cells, phase_graphs,
     )
 }
-
-# --- SQL ------------------------------------------------------------------------------------------
-
-_TOK = "regexp_extract_all(content, '[\\p{L}\\p{N}_](?:[\\p{L}\\p{N}_''-]*[\\p{L}\\p{N}_])?')"
-_BASE = r"""t0 AS (SELECT DISTINCT ON (transcript_id, turn_idx) transcript_id, turn_idx, speaker, content, phase FROM turns WHERE transcript_id IS NOT NULL AND turn_idx IS NOT NULL),
-t1 AS (SELECT transcript_id, turn_idx, phase, lower(trim(coalesce(speaker, ''))) AS s,
-  regexp_replace(regexp_replace(replace(replace(translate(coalesce(content, ''), '‘’“”–—', '''''""--'), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\t \x{a0}]+(\n|$)', '\1', 'g'), '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g') AS content FROM t0),
-t2 AS (SELECT transcript_id, turn_idx, phase, content, CASE WHEN s = '' THEN 'Unknown' WHEN s IN ('user', 'human', 'developer') THEN 'User' WHEN s IN ('assistant', 'ai', 'copilot', 'claude', 'chatgpt', 'model') THEN 'AI'
-  WHEN s = 'system' THEN 'System' WHEN s IN ('tool', 'function') THEN 'Tool' ELSE upper(s[1]) || s[2:] END AS speaker FROM t1),
-t AS (SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY turn_idx) - 1 AS pos FROM t2 WHERE speaker <> 'System' AND content <> ''),
-k AS (SELECT *, list_transform(TOK, lambda x: lower(x)) AS norm, ' ' || array_to_string(list_transform(TOK, lambda x: lower(x)), ' ') || ' ' AS padded FROM t)""".replace("TOK", _TOK)
-
-
-def _any(terms: list[str]) -> str:
-    return "(" + " OR ".join(f"contains(padded, ' {x} ')" for x in terms) + ")"
-
-
-def _round(x: str, n: int) -> str:
-    return f"CAST(printf('%.{n}f', {x}) AS DOUBLE)"
-
-
-def _rate(a: str, b: str, n: int, empty: str = "NULL") -> str:
-    return f"CASE WHEN {b} > 0 THEN {_round(f'CAST({a} AS DOUBLE) / {b}', n)} ELSE {empty} END"
-
-
-_COUNT_SQL = " + ".join(f"len(regexp_extract_all(content, '{p.replace(chr(39), chr(39) * 2)}'))" for p in SENSITIVE[:5])
-_REDACT_SQL = "content"
-for _p in SENSITIVE:
-    _REDACT_SQL = f"regexp_replace({_REDACT_SQL}, '{_p}', '[REDACTED]', 'g')"
-_STOP_SQL = ", ".join(f"'{w}'" for w in "a an and are as at be by for from has have how i in is it its me my of on or our please that the this to we with you your".split())
-_STATES = "transcript_id, speaker AS src, lead(speaker) OVER (PARTITION BY transcript_id ORDER BY turn_idx) AS dst"
-_SHARES = ", ".join(f"{_round(f'count(*) FILTER (phase = {chr(39)}{p}{chr(39)})::DOUBLE / count(*) * 100.0', 2)} AS {p}_phase_percentage" for p in PHASES)
-_RANK = "list_position(['discussion', 'planning', 'implementation', 'debugging', 'testing', 'review'], {})"
-
-ORACLE = {
-    "conversation_counts": f"""WITH {_BASE}, a AS (SELECT transcript_id, count(*) AS total_turns, count(*) FILTER (speaker = 'User') AS user_turns, count(*) FILTER (speaker = 'AI') AS ai_turns, count(*) FILTER (speaker = 'Tool') AS tool_turns,
-      CAST(coalesce(sum(len(norm)) FILTER (speaker = 'User'), 0) AS BIGINT) AS user_word_count, CAST(coalesce(sum(len(norm)) FILTER (speaker = 'AI'), 0) AS BIGINT) AS ai_word_count,
-      count(*) FILTER (speaker = 'Tool' OR regexp_matches(content, '{M.TOOL_MENTION}')) AS tool_call_turn_count FROM k GROUP BY 1),
-      b AS (SELECT *, CAST(ceil(user_word_count * 1.35::DOUBLE) AS BIGINT) AS estimated_user_tokens, CAST(ceil(ai_word_count * 1.35::DOUBLE) AS BIGINT) AS estimated_ai_tokens FROM a)
-      SELECT transcript_id, total_turns, user_turns, ai_turns, tool_turns, {_rate('ai_turns', 'user_turns', 3)} AS ai_to_user_turn_ratio, user_word_count, ai_word_count, estimated_user_tokens, estimated_ai_tokens,
-      estimated_user_tokens + estimated_ai_tokens AS estimated_total_tokens, {_rate('user_word_count', 'user_turns', 2, '0.0')} AS avg_user_prompt_words, {_rate('ai_word_count', 'ai_turns', 2, '0.0')} AS avg_ai_response_words, tool_call_turn_count FROM b""",
-    "suggestion_outcomes": f"""WITH {_BASE}, f AS (SELECT transcript_id, turn_idx, speaker, {_any(M.CORRECTION)} AS c, {_any(M.REJECTION)} AS r, {_any(M.POSITIVE)} AS p, {_any(M.CONTINUATION)} AS n FROM k),
-      j AS (SELECT *, first_value(CASE WHEN speaker = 'User' THEN CASE WHEN r OR c THEN 'r' WHEN p OR n THEN 'a' ELSE 'u' END END IGNORE NULLS) OVER (PARTITION BY transcript_id ORDER BY turn_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS v FROM f),
-      a AS (SELECT transcript_id, count(*) FILTER (speaker = 'User') AS u, count(*) FILTER (speaker = 'User' AND c) AS correction_count, count(*) FILTER (speaker = 'User' AND p) AS positive_feedback_count, count(*) FILTER (speaker = 'AI') AS ai_suggestion_count,
-      count(*) FILTER (speaker = 'AI' AND v = 'a') AS accepted_suggestion_count, count(*) FILTER (speaker = 'AI' AND v = 'r') AS rejected_suggestion_count FROM j GROUP BY 1)
-      SELECT transcript_id, correction_count, {_rate('correction_count', 'u', 3, '0.0')} AS correction_ratio, positive_feedback_count, {_rate('positive_feedback_count', 'u', 3, '0.0')} AS positive_feedback_ratio, ai_suggestion_count, accepted_suggestion_count, rejected_suggestion_count,
-      ai_suggestion_count - accepted_suggestion_count - rejected_suggestion_count AS unresolved_suggestion_count, {_rate('accepted_suggestion_count', 'ai_suggestion_count', 3)} AS acceptance_rate, {_rate('rejected_suggestion_count', 'ai_suggestion_count', 3)} AS rejection_rate FROM a""",
-    "response_latency": f"""WITH {_BASE}, j AS (SELECT transcript_id, CASE WHEN speaker = 'User' THEN first_value(CASE WHEN speaker = 'AI' THEN pos END IGNORE NULLS) OVER (PARTITION BY transcript_id ORDER BY turn_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - pos END AS d FROM t)
-      SELECT transcript_id, CASE WHEN count(d) > 0 THEN {_round('avg(d)', 2)} ELSE 0.0 END AS avg_response_latency_turns FROM j GROUP BY 1""",
-    "context_retention": f"""WITH {_BASE}, w AS (SELECT transcript_id, turn_idx, speaker, list_distinct(list_filter(norm, lambda x: len(x) > 3 AND x NOT IN ({_STOP_SQL}))) AS kw FROM k),
-      j AS (SELECT *, first_value(CASE WHEN speaker = 'AI' THEN kw END IGNORE NULLS) OVER (PARTITION BY transcript_id ORDER BY turn_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ai FROM w),
-      s AS (SELECT transcript_id, CASE WHEN speaker = 'User' AND ai IS NOT NULL AND len(kw) > 0 THEN len(list_intersect(kw, ai))::DOUBLE / len(kw) END AS v FROM j)
-      SELECT transcript_id, CASE WHEN count(v) > 0 THEN {_round('avg(v) * 100.0', 2)} ELSE 0.0 END AS context_retention_score FROM s GROUP BY 1""",
-    "prompt_specificity": f"""WITH {_BASE}, s AS (SELECT transcript_id, CASE WHEN speaker = 'User' THEN 0.4::DOUBLE * CASE WHEN len(norm) < 4 THEN 25 WHEN len(norm) <= 14 THEN 70 WHEN len(norm) <= 60 THEN 100 WHEN len(norm) <= 120 THEN 80 ELSE 55 END
-      + 0.4::DOUBLE * (least({' + '.join(f"contains(padded, ' {x} ')::INT" for x in M.SPECIFICITY)}, 6) / 6.0::DOUBLE * 100)
-      + 0.2::DOUBLE * ((contains(content, ':')::INT + contains(content, chr(10))::INT + regexp_matches(content, 'must|should|need|required')::INT + regexp_matches(content, '\\p{{Nd}}')::INT) / 4.0::DOUBLE * 100) END AS v FROM k)
-      SELECT transcript_id, CASE WHEN count(v) > 0 THEN {_round('avg(v)', 2)} ELSE 0.0 END AS prompt_specificity_score FROM s GROUP BY 1""",
-    "speaker_transitions": f"WITH {_BASE} SELECT transcript_id, src, dst, count(*) AS weight FROM (SELECT {_STATES} FROM t) WHERE dst IS NOT NULL GROUP BY ALL",
-    "speaker_transition_matrix": f"""WITH {_BASE}, l AS (SELECT unnest({SPEAKERS}) AS x), e AS (SELECT transcript_id, src, dst, count(*) AS w FROM (SELECT {_STATES} FROM t) WHERE dst IS NOT NULL GROUP BY ALL)
-      SELECT g.transcript_id, a.x AS src, b.x AS dst, coalesce(e.w, 0) AS weight FROM (SELECT DISTINCT transcript_id FROM t) g CROSS JOIN l a CROSS JOIN l b LEFT JOIN e ON e.transcript_id = g.transcript_id AND e.src = a.x AND e.dst = b.x""",
-    "phase_distribution": f"WITH {_BASE} SELECT transcript_id, {_SHARES} FROM t WHERE phase IS NOT NULL GROUP BY 1",
-    "phase_unpivot": f"WITH {_BASE}, g AS (SELECT transcript_id, {_SHARES} FROM t WHERE phase IS NOT NULL GROUP BY 1) " + " UNION ALL ".join(f"SELECT transcript_id, '{p}' AS phase, {p}_phase_percentage AS percentage FROM g" for p in PHASES),
-    "phase_switches": f"""WITH {_BASE}, n AS (SELECT transcript_id, phase, lead(phase) OVER (PARTITION BY transcript_id ORDER BY turn_idx) AS nxt FROM t WHERE phase IS NOT NULL)
-      SELECT transcript_id, count(*) FILTER (nxt <> phase) AS context_switch_count, count(*) FILTER ({_RANK.format('nxt')} < {_RANK.format('phase')} AND nxt <> 'discussion') AS phase_loopback_count FROM n GROUP BY 1""",
-    "secret_counts": f"WITH {_BASE} SELECT transcript_id, CAST(sum({_COUNT_SQL}) AS BIGINT) AS secret_exposure_count FROM t GROUP BY 1",
-    "redacted_turns": f"WITH {_BASE} SELECT transcript_id, turn_idx, {_REDACT_SQL} AS content FROM t",
-    "line_risk_counts": """WITH d AS (SELECT DISTINCT ON (transcript_id, turn_idx) transcript_id, turn_idx, code_blocks FROM turns WHERE transcript_id IS NOT NULL AND turn_idx IS NOT NULL),
-      b AS (SELECT transcript_id, unnest(code_blocks) AS b FROM d), l AS (SELECT transcript_id, unnest(string_split(coalesce(b.code, ''), chr(10))) AS line FROM b)
-      SELECT transcript_id, """
-    + ", ".join(f"CAST(sum(len(regexp_extract_all(line, '{p.replace(chr(39), chr(39) * 2)}'))) AS BIGINT) AS {k}" for k, p in LINE_RISKS.items())
-    + " FROM l GROUP BY 1",
-    "event_transitions": """WITH n AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) SELECT src, dst, count(*) AS weight FROM n WHERE dst IS NOT NULL GROUP BY ALL""",
-}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "turnwise", cores: int | str = "*", shuffle_partitions: int = 8, **conf) -> SparkSession:
@@ -25,19 +25,16 @@ def build_session(app: str = "turnwise", cores: int | str = "*", shuffle_partiti
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder.
+    """The shared checkpoint folder, named by the cluster in ``spark.checkpoint.dir``.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, local runs)
-    a folder below the warehouse directory is used.
+    Only a local session, which has no other machines, may leave it unset; a folder below its warehouse
+    is used then.  On a cluster that would be a folder of one machine, hence an error.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         given = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_turnwise_checkpoints"
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(given)
     return given
-
-
-def plan_size_bytes(df: DataFrame) -> int:
-    """Catalyst's upper estimate of a plan's output, the bound checked before a broadcast."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())

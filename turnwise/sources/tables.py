@@ -1,4 +1,4 @@
-"""Parquet tables and delivery de-duplication."""
+"""Parquet tables."""
 
 from __future__ import annotations
 
@@ -8,13 +8,3 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """``<base>/<name>.parquet``, a file or a folder of files."""
     return spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
-
-
-def delivered_once(df: DataFrame, *keys: str) -> DataFrame:
-    """One row of each key.
-
-    Repeated deliveries of a row are alike in every payload column (only the arrival time may
-    differ), so which copy stays does not matter.  The key is the row identity, so no group is
-    larger than the number of deliveries of one row and there is nothing to skew.
-    """
-    return df.dropDuplicates(list(keys))
