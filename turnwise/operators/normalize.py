@@ -88,15 +88,6 @@ def is_code_turn(blocks: Column, text: Column) -> Column:
     return (F.size(blocks) > 0) | ((F.size(lines) >= 2) & _marked(lines))
 
 
-def unfiltered(df: DataFrame) -> DataFrame:
-    """A border no filter is pushed across.
-
-    Catalyst would else copy the costly expressions below into each filter above them.  It moves no
-    filter past a projection with a non-deterministic column, here a row number nobody reads.
-    """
-    return df.withColumn("_n", F.monotonically_increasing_id())
-
-
 def normalize_turns(
     turns: DataFrame, strip_sensitive: bool = False, keep_system: bool = False, token: str = "[REDACTED]", once: bool = True
 ) -> DataFrame:
@@ -107,17 +98,19 @@ def normalize_turns(
     content.  Of a turn delivered several times one copy stays, unless ``once`` is off because the caller
     makes small facts of the turns first and de-duplicates those.
     """
-    x = turns.where("transcript_id IS NOT NULL AND turn_idx IS NOT NULL")
+    # The filters are told of the raw columns, so that they reach the scan and copy no costly expression.
+    stored = F.filter("code_blocks", lambda b: F.coalesce(b["code"], F.lit("")) != "")
+    x = turns.where(F.col("transcript_id").isNotNull() & F.col("turn_idx").isNotNull())
+    x = x.where(F.coalesce(F.col("content"), F.lit("")).rlike(r"(?U)\S") | (F.coalesce(F.size(stored), F.lit(0)) > 0))
+    if not keep_system:
+        name = F.lower(F.regexp_replace(F.coalesce("speaker", F.lit("")), r"(?U)^\s+|\s+$", ""))
+        x = x.where(~name.isin(*SPEAKER_ALIASES["System"]))
     told = [c if c in turns.columns else F.lit(None).alias(c) for c in ("timestamp", "metadata")]
     x = x.select("transcript_id", "turn_idx", "speaker", "content", "code_blocks", F.col("phase").alias("stored_phase"), *told)
     content = normal_content(F.col("content"))
     x = x.withColumns({"speaker": normal_speaker(F.col("speaker")), "content": redact(content, token) if strip_sensitive else content})
-    stored = F.filter("code_blocks", lambda b: F.coalesce(b["code"], F.lit("")) != "")
     language = lambda b: F.nullif(F.lower(b["language"]), F.lit("")).alias("language")
     stored = F.transform(stored, lambda b: F.struct(b["code"].alias("code"), language(b)))
     x = x.withColumn("blocks", F.when(F.size("code_blocks") > 0, stored).otherwise(code_blocks(F.col("content")))).drop("code_blocks")
-    x = unfiltered(x)
-    if not keep_system:
-        x = x.where("speaker <> 'System'")
-    x = with_block(x.where("content <> '' OR size(blocks) > 0").drop("_n"), "turn_idx")
+    x = with_block(x, "turn_idx")
     return delivered_once(x, "transcript_id", "turn_idx") if once else x

@@ -145,9 +145,9 @@ def label_phases(turns: DataFrame, enabled: bool = True) -> DataFrame:
     starts = chain.select(key, F.explode(F.arrays_zip(F.col("ss._stretch").alias("n"), F.col("before").alias("s"))).alias("z"))
     starts = starts.select(key, F.col("z.n").alias("_stretch"), F.col("z.s").alias("state"))
     per_block = ends.select(key, "_stretch", F.explode(F.arrays_zip(F.col("bs._block").alias("n"), F.col("r.before").alias("f"))).alias("z"))
-    per_block = per_block.join(starts, [key, "_stretch"])
+    per_block = per_block.join(starts, [key, "_stretch"], "left")
     per_block = per_block.select(key, F.col("z.n").alias("_block"), _after(F.col("state"), F.col("z.f")).alias("state"))
-    labelled = blocks.join(per_block, [key, "_block"])
+    labelled = blocks.join(per_block, [key, "_block"], "left")
     # Shifted by one: the state after each turn is its phase.
     run = _running(F.col("turns.step"), F.col("state"))
     labelled = labelled.select(key, "_block", "turns", run.alias("r"))

@@ -57,7 +57,8 @@ def look_ahead(
     states = states.withColumns({f"_l_{k}": F.last(f"_m_{k}", ignorenulls=True).over(over) for k in wanted})
     states = states.select(group, "_block", *[f"_l_{k}" for k in wanted], *(["_after"] if from_end else []))
 
-    joined = inner.join(states, [group, "_block"])
+    # A left join, though every block has its state: it adds no test of the keys, so that the shuffle is the same for both sides.
+    joined = inner.join(states, [group, "_block"], "left")
     here = lambda k: F.col(f"_i_{k}.v") + F.col("_after") if wanted[k][1] is None else F.col(f"_i_{k}.v")
     found = {k: F.when(F.col(f"_i_{k}").isNotNull(), here(k)).otherwise(F.col(f"_l_{k}.v")) for k in wanted}
     if from_end:
@@ -81,5 +82,5 @@ def with_position(df: DataFrame, group: str, order: str, out: str = "pos") -> Da
     before = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = df.groupBy(group, "_block").agg(F.count("*").alias("_n"))
     sizes = sizes.select(group, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inner = df.withColumn("_row", F.row_number().over(w)).join(sizes, [group, "_block"])
+    inner = df.withColumn("_row", F.row_number().over(w)).join(sizes, [group, "_block"], "left")
     return inner.withColumn(out, F.col("_before") + F.col("_row") - 1).drop("_before", "_row")

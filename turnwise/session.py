@@ -16,6 +16,7 @@ def build_session(app: str = "turnwise", cores: int | str = "*", shuffle_partiti
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # call sites of column expressions cost more than the plans
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TURNWISE_DRIVER_MEMORY", "8g"))
     )
