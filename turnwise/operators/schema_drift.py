@@ -1,10 +1,11 @@
 """Schemas that drift between files (problem 3).
 
-Files of a feed follow each other by export time.  Field sets and value types are aggregated per
-file; only fields that vanish or appear between neighbours are then compared by the values that the
-messages of both files carry.  The few numbers this leaves per pair of files go into similarity
-flooding, which settles the correspondences.  Groups handed to Python are bounded by the number of
-fields of two files, not by their lines.
+Lines are parsed by the built-in variant functions; the few they cannot tell go to Python.  Field sets and
+value types are aggregated to one row per file, files of a feed follow each other by export time, and
+each takes the row of the one before it along.  Only where fields both vanish and appear are the values
+of these fields compared, in the messages that both files carry.  The few numbers this leaves per pair of
+files go into similarity flooding, which settles the correspondences.  Groups handed to Python are bounded
+by the number of fields of two files, not by their lines.
 """
 
 from __future__ import annotations
@@ -28,14 +29,8 @@ UNIFIED_FIELDS = {
 }
 
 _ISO = re.compile(r"(\d{4})-(\d\d)-(\d\d)[T ](\d\d):(\d\d):(\d\d)(?:\.\d+)?(?:Z|\+00:?00)?")
-_RECORD = T.StructType(
-    [
-        T.StructField("id", T.StringType()),
-        T.StructField(
-            "fields",
-            T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("value", T.StringType()), T.StructField("nested", T.ArrayType(T.StringType()))])),
-        ),
-    ]
+_RECORD = T.ArrayType(
+    T.StructType([T.StructField(n, T.StringType()) for n in ("name", "kind", "text")] + [T.StructField("nested", T.ArrayType(T.StringType()))])
 )
 
 
@@ -105,26 +100,55 @@ def _parse(raw: str | None):
     return record
 
 
+def _text(value) -> str | None:
+    """A value as the variant functions write it: texts bare, all else as JSON."""
+    if value is None or isinstance(value, str):
+        return value
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
 @F.pandas_udf(_RECORD)
-def parse_record(raw: pd.Series) -> pd.DataFrame:
-    ids, fields = [], []
+def parse_slowly(raw: pd.Series) -> pd.Series:
+    """The fields of each line by Python, null for a line that is unreadable or no object (or not asked for)."""
+    out = []
     for text in raw:
-        record = _parse(text)
-        if record is None:
-            ids.append(None)
-            fields.append(None)
-            continue
-        key = record.get("id")
-        ids.append(None if key is None else str(key))
-        fields.append([(k, json_kind(v), canonical(v), sorted(v) if isinstance(v, dict) else None) for k, v in record.items()])
-    return pd.DataFrame({"id": ids, "fields": [None if f is None else [dict(zip(("name", "kind", "value", "nested"), x)) for x in f] for f in fields]})
+        record = _parse(text) if text is not None else None
+        fields = None
+        if record is not None:
+            fields = [{"name": k, "kind": json_kind(v), "text": _text(v), "nested": sorted(v) if isinstance(v, dict) else None} for k, v in record.items()]
+        out.append(fields)
+    return pd.Series(out, dtype=object)
 
 
-def field_values(lines: DataFrame) -> DataFrame:
-    """(file_id, id, field, kind, value, nested): one row for each field of each readable line; value is a hash."""
-    parsed = lines.select("file_id", parse_record("raw").alias("r")).where("r.fields IS NOT NULL")
-    x = parsed.select("file_id", "r.id", F.explode("r.fields").alias("f"))
-    return x.select("file_id", "id", F.col("f.name").alias("field"), F.col("f.kind").alias("kind"), F.when(F.col("f.value").isNotNull(), F.xxhash64("f.value")).alias("value"), F.col("f.nested").alias("nested"))
+def with_fields(lines: DataFrame, raw: str = "raw") -> DataFrame:
+    """Adds ``fields`` to the readable lines (others are left out): name, JSON type, text and nested keys of each field.
+
+    The line is parsed inside brackets, so that nothing may follow its object.  A line that the variant
+    functions refuse (unreadable, or with repeated keys, or numbers beyond JSON), or in which an array of
+    objects could hide a bracket too many, is read by Python instead; both ways give the same fields.
+    """
+    x = lines.where(F.col(raw).isNotNull()).withColumn("_v", F.expr(f"try_parse_json(concat('[', {raw}, ']'))"))
+    x = x.withColumns({"_o": F.expr("try_variant_get(_v, '$[0]', 'map<string,variant>')"), "_more": F.expr("try_variant_get(_v, '$[1]', 'variant')")})
+    sure = F.col("_o").isNotNull() & F.col("_more").isNull() & ~F.col(raw).rlike(r"\}\s*\]")
+    x = x.withColumn("_fast", sure)
+    kind = """CASE WHEN t = 'VOID' THEN NULL WHEN t = 'STRING' THEN 'string' WHEN t = 'BOOLEAN' THEN 'boolean' WHEN t LIKE 'ARRAY<%' THEN 'array'
+        WHEN t LIKE 'OBJECT<%' THEN 'object' ELSE 'number' END"""
+    field = f"""transform(array(schema_of_variant(e.value)), t -> named_struct('name', e.key, 'kind', {kind}, 'text', CAST(e.value AS STRING),
+        'nested', if(t LIKE 'OBJECT<%', array_sort(json_object_keys(CAST(e.value AS STRING))), NULL)))[0]"""
+    fast = F.expr(f"transform(map_entries(_o), e -> {field})")
+    x = x.withColumn("_slow", parse_slowly(F.when(~F.col("_fast"), F.col(raw))))
+    return x.withColumn("fields", F.when(F.col("_fast"), fast).otherwise(F.col("_slow"))).drop("_v", "_o", "_more", "_fast", "_slow").where("fields IS NOT NULL")
+
+
+def file_schemas(lines: DataFrame) -> DataFrame:
+    """(file_id, fields): the fields of each file in name order, with their JSON types and nested keys."""
+    x = with_fields(lines.select("file_id", "raw").where("file_id IS NOT NULL")).select("file_id", F.explode("fields").alias("f"))
+    x = x.select("file_id", "f.name", "f.kind", "f.nested").distinct()  # first within each task: a file's lines share few forms
+    seen = x.groupBy("file_id").agg(F.collect_list(F.struct("name", "kind", "nested")).alias("s"))
+    fields = """transform(array_sort(array_distinct(s.name)), n -> named_struct('field', n,
+        'kinds', array_sort(array_distinct(filter(transform(filter(s, x -> x.name = n), x -> x.kind), k -> k IS NOT NULL))),
+        'nested', array_sort(array_distinct(flatten(filter(transform(filter(s, x -> x.name = n), x -> x.nested), k -> k IS NOT NULL))))))"""
+    return seen.select("file_id", F.expr(fields).alias("fields"))
 
 
 def _placed(files: DataFrame, span_days: int) -> DataFrame:
@@ -134,20 +158,27 @@ def _placed(files: DataFrame, span_days: int) -> DataFrame:
     return f.withColumn("span", F.expr(f"unix_date(to_date(exported_at)) div {span_days}"))
 
 
-def predecessors(files: DataFrame, span_days: int = 30) -> DataFrame:
-    """(feed_id, file_id, prev_id): each file with the one before it in its feed by exported_at (then file_id).
+def with_predecessor(placed: DataFrame, *carried: str) -> DataFrame:
+    """Adds ``prev``, a struct of file_id and the carried columns of the file before each in its feed, null for the first.
 
-    A feed may hold a third of all files, so no window runs over a whole feed: files are ordered
-    within a feed's time spans, and only one row per span is ordered over the feed.  Files without
-    feed or export time have no place in the order and no predecessor.
+    A feed may hold a third of all files, so no window runs over a whole feed: files are ordered within a
+    feed's time spans, and only one row per span is ordered over the feed.
     """
-    f = _placed(files, span_days)
+    me = F.struct("file_id", *carried)
     inner = Window.partitionBy("feed_id", "span").orderBy("exported_at", "file_id")
-    within = f.withColumn("prev_in", F.lag("file_id").over(inner))
-    last = f.groupBy("feed_id", "span").agg(F.max(F.struct("exported_at", "file_id")).alias("m"))
+    within = placed.withColumn("_in", F.lag(me).over(inner))
+    last = placed.groupBy("feed_id", "span").agg(F.max_by(me, F.struct("exported_at", "file_id")).alias("m"))
     outer = Window.partitionBy("feed_id").orderBy("span")
-    before = last.select("feed_id", "span", F.lag("m.file_id").over(outer).alias("prev_span"))
-    return within.join(before, ["feed_id", "span"]).select("feed_id", "file_id", F.coalesce("prev_in", "prev_span").alias("prev_id"))
+    before = last.select("feed_id", "span", F.lag("m").over(outer).alias("_before"))
+    return within.join(before, ["feed_id", "span"], "left").withColumn("prev", F.coalesce("_in", "_before")).drop("_in", "_before")
+
+
+def predecessors(files: DataFrame, span_days: int = 30) -> DataFrame:
+    """(feed_id, file_id, prev_id): each file with the one before it in its feed by exported_at (then file_id).
+
+    Files without feed or export time have no place in the order and no predecessor.
+    """
+    return with_predecessor(_placed(files, span_days)).select("feed_id", "file_id", F.col("prev.file_id").alias("prev_id"))
 
 
 def _name_similarity(a: str, b: str) -> float:
@@ -236,6 +267,44 @@ def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["file_id", "change_kind", "old_field", "new_field"])
 
 
+@F.pandas_udf(T.StringType())
+def canonical_text(kinds: pd.Series, texts: pd.Series) -> pd.Series:
+    """``canonical`` of values given by JSON type and text."""
+    values = (json.loads(t) if k in ("array", "object") else t for k, t in zip(kinds, texts))
+    return pd.Series([canonical(v) for v in values], dtype=object)
+
+
+def _evidence(lines: DataFrame, changed: DataFrame) -> DataFrame:
+    """(file_id, evidence) of files with vanished and appeared fields: for each pair of these the messages in both files
+    that hold a value on both sides, and how many of them an equal one.
+
+    Lines meet what is asked of their file (as the later or as the earlier one) once, and only fields asked
+    for are compared.
+    """
+    asked = changed.where("size(vanished) > 0 AND size(appeared) > 0")
+    sides = F.array(
+        F.struct(F.col("prev_id").alias("of"), F.lit("o").alias("side"), F.col("vanished.field").alias("names")),
+        F.struct(F.col("file_id").alias("of"), F.lit("n").alias("side"), F.col("appeared.field").alias("names")),
+    )
+    asked = asked.select(F.col("file_id").alias("pair"), F.explode(sides).alias("a"))
+    asked = asked.groupBy(F.col("a.of").alias("file_id")).agg(F.collect_list(F.struct("pair", "a.side", "a.names")).alias("asks"))
+    x = with_fields(lines.select("file_id", "raw").where("raw IS NOT NULL").join(asked, "file_id"))
+    x = x.withColumn("id", F.expr("filter(fields, f -> f.name = 'id')[0].text")).where("id IS NOT NULL")
+    x = x.select("id", "fields", F.explode("asks").alias("a"))
+    told = F.expr("filter(fields, f -> f.text IS NOT NULL AND array_contains(a.names, f.name))")
+    x = x.select(F.col("a.pair").alias("pair"), "id", F.col("a.side").alias("side"), F.explode(told).alias("f"))
+    x = x.select("pair", "id", "side", F.col("f.name").alias("name"), F.xxhash64(canonical_text("f.kind", "f.text")).alias("h"))
+    both = x.groupBy("pair", "id").agg(F.collect_set(F.struct("side", "name", "h")).alias("v"))
+    names = lambda side: f"array_distinct(transform(filter(v, x -> x.side = '{side}'), x -> x.name))"
+    values = lambda side, n: f"transform(filter(v, x -> x.side = '{side}' AND x.name = {n}), x -> x.h)"
+    cells = f"""flatten(transform({names("o")}, o -> transform({names("n")}, n ->
+        named_struct('old_field', o, 'new_field', n, 'same', arrays_overlap({values("o", "o")}, {values("n", "n")})))))"""
+    cells = both.select("pair", F.explode(F.expr(cells)).alias("c"))
+    counts = cells.groupBy("pair", "c.old_field", "c.new_field").agg(F.count_if("c.same").alias("equal"), F.count("*").alias("both"))
+    told = F.collect_list(F.struct("old_field", "new_field", "equal", "both")).alias("evidence")
+    return counts.groupBy(F.col("pair").alias("file_id")).agg(told)
+
+
 def find_changes(files: DataFrame, lines: DataFrame) -> DataFrame:
     """(file_id, change_kind, old_field, new_field) of every change from a file to the next one of its feed.
 
@@ -243,33 +312,23 @@ def find_changes(files: DataFrame, lines: DataFrame) -> DataFrame:
     and files count once; a file without readable lines has no fields, so its successor adds all of
     its fields and it removes all of its predecessor's; the first file of a feed reports nothing;
     a field that is null throughout has no type and is never retyped.
+    One row per changed file is written to the checkpoint folder on the way.
     """
-    values = field_values(lines.select("file_id", "raw").where("file_id IS NOT NULL AND raw IS NOT NULL"))
-    pairs = predecessors(files).where("prev_id IS NOT NULL").select("file_id", "prev_id")
-    schema = values.groupBy("file_id", "field").agg(F.sort_array(F.collect_set("kind")).alias("kinds"), F.array_distinct(F.flatten(F.collect_set("nested"))).alias("nested"))
-    now = pairs.join(schema, "file_id").select("file_id", "prev_id", "field", "kinds", "nested")
-    was = pairs.join(schema.withColumnRenamed("file_id", "prev_id"), "prev_id").select("file_id", "prev_id", "field", F.col("kinds").alias("old_kinds"), F.col("nested").alias("old_nested"))
-    both = was.join(now, ["file_id", "prev_id", "field"], "full")
-
-    retyped = both.where("size(kinds) > 0 AND size(old_kinds) > 0 AND kinds <> old_kinds").select("file_id", F.lit("retyped").alias("change_kind"), F.col("field").alias("old_field"), F.col("field").alias("new_field"))
-    changed = both.where("kinds IS NULL OR old_kinds IS NULL").select(
-        "file_id", "prev_id", "field", F.col("kinds").isNull().alias("vanished"), F.coalesce("kinds", "old_kinds").alias("kinds"), F.coalesce("nested", "old_nested").alias("nested")
-    )
-    item = F.struct("field", "kinds", "nested")
-    sides = changed.groupBy("file_id", "prev_id").agg(F.sort_array(F.collect_list(F.when(F.col("vanished"), item))).alias("vanished"), F.sort_array(F.collect_list(F.when(~F.col("vanished"), item))).alias("appeared"))
-
-    # Values of changed fields only, for pairs that have both kinds of change.
-    open_pairs = sides.where("size(vanished) > 0 AND size(appeared) > 0")
-    told = values.where("id IS NOT NULL AND value IS NOT NULL").select("file_id", "id", "field", "value")
-    old = open_pairs.select("file_id", "prev_id", F.explode("vanished.field").alias("field")).join(told.withColumnRenamed("file_id", "prev_id"), ["prev_id", "field"])
-    new = open_pairs.select("file_id", F.explode("appeared.field").alias("field")).join(told, ["file_id", "field"])
-    old = old.groupBy("file_id", "id", F.col("field").alias("old_field")).agg(F.collect_set("value").alias("old_values"))
-    new = new.groupBy("file_id", "id", F.col("field").alias("new_field")).agg(F.collect_set("value").alias("new_values"))
-    evidence = old.join(new, ["file_id", "id"]).groupBy("file_id", "old_field", "new_field").agg(F.count_if(F.arrays_overlap("old_values", "new_values")).alias("equal"), F.count("*").alias("both"))
-    evidence = evidence.groupBy("file_id").agg(F.collect_list(F.struct("old_field", "new_field", "equal", "both")).alias("evidence"))
-
-    settled = sides.join(evidence, "file_id", "left").select("file_id", "vanished", "appeared", "evidence").mapInPandas(_settle, _MATCHED)
-    return settled.unionByName(retyped.select("file_id", "change_kind", "old_field", "new_field")).distinct()
+    ensure_checkpoint_dir(lines.sparkSession)
+    placed = _placed(files, 30).join(file_schemas(lines), "file_id", "left").withColumn("fields", F.coalesce("fields", F.expr("array()")))
+    x = with_predecessor(placed, "fields").where("prev IS NOT NULL").select("file_id", F.col("prev.file_id").alias("prev_id"), F.col("prev.fields").alias("was"), F.col("fields").alias("now"))
+    clash = "y.field = x.field AND size(y.kinds) > 0 AND size(x.kinds) > 0 AND y.kinds <> x.kinds"
+    x = x.select(
+        "file_id", "prev_id", F.expr("filter(was, x -> NOT array_contains(now.field, x.field))").alias("vanished"),
+        F.expr("filter(now, x -> NOT array_contains(was.field, x.field))").alias("appeared"),
+        F.expr(f"transform(filter(was, x -> exists(now, y -> {clash})), x -> x.field)").alias("retyped"),
+    )
+    changed = x.where("size(vanished) + size(appeared) + size(retyped) > 0").checkpoint()
+    kind = F.lit("retyped").alias("change_kind")
+    retyped = changed.select("file_id", kind, F.explode("retyped").alias("old_field")).withColumn("new_field", F.col("old_field"))
+    settled = changed.where("size(vanished) + size(appeared) > 0").join(_evidence(lines, changed), "file_id", "left")
+    settled = settled.select("file_id", "vanished", "appeared", "evidence").mapInPandas(_settle, _MATCHED)
+    return settled.unionByName(retyped)
 
 
 # --- one table ------------------------------------------------------------------------------------
@@ -523,7 +582,8 @@ def unified_records(files: DataFrame, lines: DataFrame, share: float = 0.95) ->
 
     feeds = files.select("file_id", "feed_id").where("file_id IS NOT NULL").dropDuplicates(["file_id"])
     feeds = feeds.join(field_origins(files, renames), "file_id", "left")
-    x = once.join(feeds, "file_id", "left").select("file_id", "feed_id", "line_no", unify_with(family, kinds)("raw", "origins").alias("u")).where("u.rest IS NOT NULL")
+    x = once.join(feeds, "file_id", "left").select("file_id", "feed_id", "line_no", unify_with(family, kinds)("raw", "origins").alias("u"))
+    x = x.where("u.rest IS NOT NULL")
     columns = ["file_id", "feed_id", "line_no", *UNIFIED_FIELDS, "rest"]
     typed = [F.col("u.fields")[t].try_cast(kinds[t]).alias(name) for t, name in _column_names(list(kinds), set(columns)).items()]
     return x.select("file_id", "feed_id", "line_no", *(f"u.{c}" for c in (*UNIFIED_FIELDS, "rest")), *typed)
