@@ -121,13 +121,14 @@ def parse_slowly(raw: pd.Series) -> pd.Series:
 
 
 def with_fields(lines: DataFrame, raw: str = "raw") -> DataFrame:
-    """Adds ``fields`` to the readable lines (others are left out): name, JSON type, text and nested keys of each field.
+    """Adds ``fields``: name, JSON type, text and nested keys of each field; null for a line that is no readable object.
 
     The line is parsed inside brackets, so that nothing may follow its object.  A line that the variant
     functions refuse (unreadable, or with repeated keys, or numbers beyond JSON), or in which an array of
     objects could hide a bracket too many, is read by Python instead; both ways give the same fields.
+    Take the fields by ``explode_outer``: a test of them for null would be pushed down as a second parse.
     """
-    x = lines.where(F.col(raw).isNotNull()).withColumn("_v", F.expr(f"try_parse_json(concat('[', {raw}, ']'))"))
+    x = lines.withColumn("_v", F.expr(f"try_parse_json(concat('[', {raw}, ']'))"))
     x = x.withColumns({"_o": F.expr("try_variant_get(_v, '$[0]', 'map<string,variant>')"), "_more": F.expr("try_variant_get(_v, '$[1]', 'variant')")})
     sure = F.col("_o").isNotNull() & F.col("_more").isNull() & ~F.col(raw).rlike(r"\}\s*\]")
     x = x.withColumn("_fast", sure)
@@ -137,12 +138,13 @@ def with_fields(lines: DataFrame, raw: str = "raw") -> DataFrame:
         'nested', if(t LIKE 'OBJECT<%', array_sort(json_object_keys(CAST(e.value AS STRING))), NULL)))[0]"""
     fast = F.expr(f"transform(map_entries(_o), e -> {field})")
     x = x.withColumn("_slow", parse_slowly(F.when(~F.col("_fast"), F.col(raw))))
-    return x.withColumn("fields", F.when(F.col("_fast"), fast).otherwise(F.col("_slow"))).drop("_v", "_o", "_more", "_fast", "_slow").where("fields IS NOT NULL")
+    return x.withColumn("fields", F.when(F.col("_fast"), fast).otherwise(F.col("_slow"))).drop("_v", "_o", "_more", "_fast", "_slow")
 
 
 def file_schemas(lines: DataFrame) -> DataFrame:
     """(file_id, fields): the fields of each file in name order, with their JSON types and nested keys."""
-    x = with_fields(lines.select("file_id", "raw").where("file_id IS NOT NULL")).select("file_id", F.explode("fields").alias("f"))
+    x = with_fields(lines.select("file_id", "raw").where("file_id IS NOT NULL AND raw IS NOT NULL"))
+    x = x.select("file_id", F.explode_outer("fields").alias("f")).where("f IS NOT NULL")
     x = x.select("file_id", "f.name", "f.kind", "f.nested").distinct()  # first within each task: a file's lines share few forms
     seen = x.groupBy("file_id").agg(F.collect_list(F.struct("name", "kind", "nested")).alias("s"))
     fields = """transform(array_sort(array_distinct(s.name)), n -> named_struct('field', n,
@@ -289,10 +291,9 @@ def _evidence(lines: DataFrame, changed: DataFrame) -> DataFrame:
     asked = asked.select(F.col("file_id").alias("pair"), F.explode(sides).alias("a"))
     asked = asked.groupBy(F.col("a.of").alias("file_id")).agg(F.collect_list(F.struct("pair", "a.side", "a.names")).alias("asks"))
     x = with_fields(lines.select("file_id", "raw").where("raw IS NOT NULL").join(asked, "file_id"))
-    x = x.withColumn("id", F.expr("filter(fields, f -> f.name = 'id')[0].text")).where("id IS NOT NULL")
-    x = x.select("id", "fields", F.explode("asks").alias("a"))
-    told = F.expr("filter(fields, f -> f.text IS NOT NULL AND array_contains(a.names, f.name))")
-    x = x.select(F.col("a.pair").alias("pair"), "id", F.col("a.side").alias("side"), F.explode(told).alias("f"))
+    x = x.select("fields", F.expr("filter(fields, f -> f.name = 'id' AND f.text IS NOT NULL)[0].text").alias("id"), F.explode("asks").alias("a"))
+    told = F.expr("if(id IS NULL, NULL, filter(fields, f -> f.text IS NOT NULL AND array_contains(a.names, f.name)))")
+    x = x.select("a.pair", "id", "a.side", F.explode_outer(told).alias("f")).where("f IS NOT NULL")
     x = x.select("pair", "id", "side", F.col("f.name").alias("name"), F.xxhash64(canonical_text("f.kind", "f.text")).alias("h"))
     both = x.groupBy("pair", "id").agg(F.collect_set(F.struct("side", "name", "h")).alias("v"))
     names = lambda side: f"array_distinct(transform(filter(v, x -> x.side = '{side}'), x -> x.name))"
