@@ -145,36 +145,35 @@ _REFUSAL_CUES = re.compile(
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, one row at a time."""
-    if not a or not b:
-        return 0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            above = row[j]
-            row[j] = diagonal + 1 if x == y else max(above, row[j - 1])
-            diagonal = above
-    return row[-1]
+    """Length of the longest common subsequence: the rows of the table as bits of one number, one step a word."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        hit = row & places.get(y, 0)
+        if hit:
+            row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
 
 
 def is_refusal(response: str, least: float = 0.85) -> bool:
-    """True if some sentence of a short answer follows a refusal template.
+    """True if some sentence of the answer follows a refusal template.
 
-    A sentence is aligned with a template by longest common subsequence: most of the template's
-    words must be in it in order, and it must say little else.
+    A sentence, or as much of its beginning as the template is long, is aligned with the template by
+    longest common subsequence: most of the template's words must be in it in order, with little else
+    between them.  What a long sentence goes on to say does not matter.
     """
     if not _REFUSAL_CUES.search(response.lower()):
         return False
     for sentence in re.split(r"(?<=[.!?])\s+|\n+", prose(response)):
         words = tokens(sentence)
-        if not 3 <= len(words) <= 24:
-            continue
         seen = set(words)
         for template, vocabulary in zip(_TEMPLATES, _TEMPLATE_WORDS):
             if len(vocabulary & seen) < least * len(vocabulary):
                 continue
-            if lcs_length(template, words) >= least * len(template) and len(words) <= len(template) + 4:
+            if lcs_length(template, words[: len(template) + 4]) >= least * len(template):
                 return True
     return False
 
@@ -215,8 +214,19 @@ def is_empty(response: str | None) -> bool:
     return response is None or not _VISIBLE.search(response)
 
 
+_LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
+_GOES_ON = re.compile(r"[-+*/%=,.&|<(\[{\\]$|\b(?:and|or|not|in|is)$")
+
+
+def breaks_off(code: str) -> bool:
+    """True if code ends on an operator or opening bracket with brackets still open."""
+    code = _LITERAL.sub("''", code).rstrip()
+    still_open = sum(code.count(c) for c in "([{") - sum(code.count(c) for c in ")]}")
+    return still_open > 0 and _GOES_ON.search(code) is not None
+
+
 def is_truncated(response: str) -> bool:
-    """True if the text stops inside a sentence or an open code block.
+    """True if the text stops inside a sentence, an open code block, or the code of a closed one.
 
     Lists, headings before code, code alone and code marks are complete without a full stop; inline
     code at the end of running text is a part of its sentence.
@@ -236,7 +246,9 @@ def is_truncated(response: str) -> bool:
     text = response.rstrip()
     if text.endswith("…") or text.endswith("...") and not text.endswith("...."):
         return True
-    if text.endswith(("```", "~~~", "[code block]")):
+    if text.endswith(("```", "~~~")):
+        return breaks_off(re.split("```|~~~", text)[-2])
+    if text.endswith("[code block]"):
         return False
     last = text[text.rfind("\n") + 1 :]
     if _LIST_ITEM.match(last):
