@@ -7,6 +7,7 @@ finds the turns that can match any rule; the rules run only there.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable
 
 import pandas as pd
@@ -51,7 +52,7 @@ RULES: dict[str, str] = {
 
 #: Words that stand for a credential without being one.
 _PLACEHOLDER = re.compile(
-    r"(?i)^(?:change[_-]?me|replace[_-]?(?:me|this)?|your[_-].*|.*[_-]?here|x{3,}|\*{3,}|\.{2,}|-+|<.*>|todo|tbd|none|null|nil|undefined|true|false|example|sample|dummy|test|\[?redacted.*|placeholder|insert.*|enter.*|fill[_-].*|str|string|int|bool|bytes|optional|any|password|passwd|secret|token|passphrase)$"
+    r"(?i)^(?:change[_-]?me|replace[_-]?(?:me|this)?|your[_-].*|(?:.*[_-])?here|(?:your|my|put|add|paste|the)\w*here|x{3,}|\*{3,}|\.{2,}|-+|<.*>|todo|tbd|none|null|nil|undefined|true|false|example|sample|dummy|test|\[?redacted.*|placeholder|insert.*|enter.*|fill[_-].*|str|string|int|bool|bytes|optional|any|password|passwd|secret|token|passphrase)$"
 )
 _REFERENCE = re.compile(r"[$<>{}\[\]()]|^%|%$|^env[.:]|^vault[.:/]|^secret[s]?[/:]|os\.|process\.|environ")
 _PATHLIKE = re.compile(r"^(?:\.{0,2}/)?(?:[A-Za-z_.-]+/)+[A-Za-z_.-]+$")
@@ -64,14 +65,14 @@ _HUMP = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 def _is_plain_secret(value: str, rule: str) -> bool:
     """Whether a value without digits, the rest of a ``NAME=value`` line, is a literal and no identifier or reference.
 
-    In lines of an environment a value of mixed case, or a long one that is no identifier, is a literal;
+    In lines of an environment a value of mixed case, or a long one of letters alone or that is no identifier, is a literal;
     in other lines, which may be code, only one whose capitals fall as by chance.
     """
     if _SPOKEN_OF.search(value) or re.fullmatch(r"(?:[A-Za-z_]\w*(?:\.|->|::))+[A-Za-z_]\w*", value):
         return False
     mixed = value.upper() != value != value.lower()
     if rule == "env_line":
-        return mixed or len(value) >= 16 and not value.isidentifier()
+        return mixed or len(value) >= 16 and (value.isalpha() or not value.isidentifier())
     humps = _HUMP.findall(value)
     return mixed and len(value) >= 16 and sum(map(len, humps)) < 3 * len(humps)
 
@@ -113,25 +114,32 @@ QUERY = TrigramQuery.of(RULES)
 _COMPILED = {k: (*_compiled(v), min(required_strings(v), key=len)) for k, v in RULES.items()}
 
 
-def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, rule) of each credential of a text; nothing overlaps, an earlier rule has precedence."""
+def find_secrets(text: str | None, rules: int = -1) -> list[tuple[int, int, str]]:
+    """(start, end, rule) of each credential of a text; nothing overlaps, an earlier rule has precedence.
+
+    ``rules`` is the bitmap of the rules that can match, as the trigram index tells it.
+    """
     if not text:
         return []
     low = text.lower()
     if len(low) != len(text):  # a letter whose lower case is longer would shift the positions
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    taken: list[tuple[int, int, str]] = []
-    for rule, (folded, pattern, needs) in _COMPILED.items():
-        if len(needs) <= 12 and not any(n in low for n in needs):
+    starts: list[int] = []  # of what is taken, in order
+    taken: dict[int, tuple[int, str]] = {}
+    for n, (rule, (folded, pattern, needs)) in enumerate(_COMPILED.items()):
+        if not rules >> n & 1 or len(needs) <= 12 and not any(s in low for s in needs):
             continue
         for m in pattern.finditer(low if folded else text):
             a, b = m.span("s")
             if rule.startswith("told_") or rule in ("netrc", "bare_assignment", "command_login"):
                 while b > a and text[b - 1] in _TRAILING:
                     b -= 1
-            if is_credential(text[a:b], rule) and not any(a < y and x < b for x, y, _ in taken):
-                taken.append((a, b, rule))
-    return sorted(taken)
+            at = bisect_left(starts, a)
+            free = (at == 0 or taken[starts[at - 1]][0] <= a) and (at == len(starts) or b <= starts[at])
+            if free and is_credential(text[a:b], rule):
+                starts.insert(at, a)
+                taken[a] = (b, rule)
+    return [(a, *taken[a]) for a in starts]
 
 
 def redact(text: str | None, placeholder: str = "REDACTED_CREDENTIAL") -> str | None:
@@ -145,13 +153,13 @@ def redact(text: str | None, placeholder: str = "REDACTED_CREDENTIAL") -> str |
     return "".join([*out, text[at:]])
 
 
-def _all_of(texts: Iterable[str | None]) -> list[str]:
-    return sorted({t[a:b] for t in texts if t for a, b, _ in find_secrets(t)})
+def _all_of(texts: Iterable[str | None], rules: int = -1) -> list[str]:
+    return sorted({t[a:b] for t in texts if t for a, b, _ in find_secrets(t, rules)})
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def secrets_of(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda a: _all_of(a) if a is not None else [])
+def secrets_of(texts: pd.Series, rules: pd.Series) -> pd.Series:
+    return pd.Series([_all_of(a, int(r)) if a is not None else [] for a, r in zip(texts, rules)], dtype=object)
 
 
 def turn_chunks(turns: DataFrame) -> DataFrame:
@@ -171,8 +179,9 @@ def find_credentials(turns: DataFrame) -> DataFrame:
     row delivered several times counts once; texts are read whole.
     """
     indexed = trigram_index(turn_chunks(turns))
-    candidates = indexed.where(QUERY.candidate("postings")).select("transcript_id", "turn_idx", "chunks")
-    return candidates.select("transcript_id", "turn_idx", F.explode(secrets_of("chunks")).alias("secret_text")).distinct()
+    candidates = indexed.withColumn("rules", QUERY.rules("postings")).where("rules <> 0")
+    found = candidates.select("transcript_id", "turn_idx", F.explode_outer(secrets_of("chunks", "rules")).alias("secret_text"))
+    return found.where("secret_text IS NOT NULL").distinct()
 
 
 def redact_turns(turns: DataFrame, placeholder: str = "REDACTED_CREDENTIAL") -> DataFrame:
@@ -184,7 +193,7 @@ def redact_turns(turns: DataFrame, placeholder: str = "REDACTED_CREDENTIAL") ->
 
     text = F.concat(F.array("content"), F.coalesce(F.col("code_blocks.code"), F.array().cast("array<string>")))
     x = turns.withColumn("_t", text).withColumn("_p", QUERY.index("array_join(_t, '\\n')"))
-    marked = x.withColumn("_hit", QUERY.candidate("_p")).drop("_p")
+    marked = x.withColumn("_hit", QUERY.rules("_p") != 0).drop("_p")
     clean_part = marked.where("NOT _hit").drop("_t", "_hit")
     hit = marked.where("_hit").withColumn("_n", clean("_t"))
     blocks = F.when(F.col("code_blocks").isNotNull(), F.transform("code_blocks", lambda b, i: b.withField("code", F.get("_n", i + 1))))

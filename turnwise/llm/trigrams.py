@@ -113,49 +113,40 @@ def trigrams_of(text: str) -> list[str]:
 _COMMON = "etaoinsrhldcumfpgwybvkxjqz"
 
 
-#: Trigrams of everyday words and code, which tell little.
-FREQUENT = frozenset("key con int ing ion ess ser acc ken env htt ttp ret ase ort ord ode ent ide".split())
-
-
 def _commonness(trigram: str) -> int:
     return sum(26 - _COMMON.index(c) if c in _COMMON else 3 for c in trigram)
 
 
+#: A string is told by these trigrams together.
+Told = frozenset
+
+
 @dataclass(frozen=True)
 class TrigramQuery:
-    """For each expression its conjuncts, each a set of trigrams of which a chunk must hold one."""
+    """For each expression its conjuncts, each a set of strings (as sets of trigrams) of which a chunk must hold one."""
 
     names: tuple[str, ...]
-    clauses: tuple[tuple[frozenset[str], ...], ...]
+    clauses: tuple[tuple[frozenset[Told], ...], ...]
     trigrams: tuple[str, ...]
 
     @staticmethod
-    def of(patterns: dict[str, str], conjuncts: int = 2, frequent: frozenset[str] = FREQUENT) -> "TrigramQuery":
-        """Keeps the ``conjuncts`` strongest conjuncts, and of each string one trigram.
+    def of(patterns: dict[str, str], conjuncts: int = 2, each: int = 2) -> "TrigramQuery":
+        """Keeps the ``conjuncts`` strongest conjuncts, and of each string its ``each`` least common trigrams.
 
-        Trigrams are chosen greedily: those shared by most strings first, so the bitmap stays short;
-        ``frequent`` ones only where a string has no other.  Fewer trigrams only make the filter
-        weaker, never wrong.  Raises where an expression has no required trigram, as every chunk
-        would be its candidate.
+        Fewer trigrams only make the filter weaker, never wrong.  Raises where an expression has no
+        required trigram, as every chunk would be its candidate.
         """
         kept: dict[str, list[Conjunct]] = {}
         for name, pattern in patterns.items():
             kept[name] = sorted(required_strings(pattern), key=_strength, reverse=True)[:conjuncts]
             if not kept[name]:
                 raise ValueError(f"{name}: no trigram is required")
-        options = {s: [t for t in trigrams_of(s) if t not in frequent] or trigrams_of(s) for cs in kept.values() for c in cs for s in c}
-        chosen: dict[str, str] = {}
-        while left := [s for s in options if s not in chosen]:
-            counts: dict[str, int] = {}
-            for s in left:
-                for t in set(options[s]):
-                    counts[t] = counts.get(t, 0) + 1
-            best = min(counts, key=lambda t: (-counts[t], _commonness(t), t))
-            chosen |= {s: best for s in left if best in options[s]}
-        clauses = tuple(tuple(frozenset(chosen[s] for s in c) for c in cs) for cs in kept.values())
-        return TrigramQuery(tuple(patterns), clauses, tuple(sorted(set(chosen.values()))))
-
-    def _mask(self, trigrams: frozenset[str]) -> list[int]:
+        told = lambda s: Told(sorted(set(trigrams_of(s)), key=lambda t: (_commonness(t), t))[:each])
+        clauses = tuple(tuple(_minimal({told(s) for s in c}) for c in cs) for cs in kept.values())
+        every = {t for cs in clauses for c in cs for s in c for t in s}
+        return TrigramQuery(tuple(patterns), clauses, tuple(sorted(every)))
+
+    def _mask(self, trigrams: Told) -> list[int]:
         masks = [0] * (-(-len(self.trigrams) // _BITS))
         for t in trigrams:
             k = self.trigrams.index(t)
@@ -170,25 +161,34 @@ class TrigramQuery:
             words.append(" | ".join(f"if(contains(t, '{t}'), {1 << k}L, 0L)" for k, t in enumerate(quoted[start : start + _BITS])))
         return f"transform(array(lower({text})), t -> array({', '.join(words)}))[0]"
 
-    def candidate_sql(self, postings: str) -> str:
-        """SQL that is true where the postings of at least one expression meet in the chunk.
+    def rules_sql(self, postings: str) -> str:
+        """SQL of the expressions whose postings meet in the chunk, as a bitmap in the order of ``names``.
 
         The bitmap is bound to a lambda variable, so Catalyst cannot copy its expression into each
         of the bit tests.
         """
         tests = []
-        for conjuncts in self.clauses:
-            held = [" OR ".join(f"(p[{w}] & {m}L) <> 0" for w, m in enumerate(self._mask(c)) if m) for c in conjuncts]
-            tests.append(" AND ".join(f"({h})" for h in held))
-        return f"exists(array({postings}), p -> {' OR '.join(f'({t})' for t in dict.fromkeys(tests))})"
+        for n, conjuncts in enumerate(self.clauses):
+            held = []
+            for c in conjuncts:
+                strings = sorted([" AND ".join(f"(p[{w}] & {m}L) = {m}L" for w, m in enumerate(self._mask(s)) if m) for s in c])
+                held.append("(" + " OR ".join(f"({x})" for x in strings) + ")")
+            tests.append(f"if({' AND '.join(held)}, {1 << n}L, 0L)")
+        return f"transform(array({postings}), p -> {' | '.join(tests)})[0]"
 
     def index(self, text: str) -> Column:
         return F.expr(self.index_sql(text))
 
-    def candidate(self, postings: str) -> Column:
-        return F.expr(self.candidate_sql(postings))
+    def rules(self, postings: str) -> Column:
+        return F.expr(self.rules_sql(postings))
 
-    def holds(self, text: str) -> bool:
-        """The same test in Python."""
+    def holds(self, text: str) -> int:
+        """The same bitmap of expressions in Python."""
         low = text.lower()
-        return any(all(any(t in low for t in conj) for conj in c) for c in self.clauses)
+        met = lambda cs: all(any(all(t in low for t in s) for s in c) for c in cs)
+        return sum(1 << n for n, cs in enumerate(self.clauses) if met(cs))
+
+
+def _minimal(strings: set[Told]) -> frozenset[Told]:
+    """Without the strings that need all trigrams of another one: these are met whenever the other is."""
+    return frozenset(s for s in strings if not any(o < s for o in strings))
