@@ -52,3 +52,29 @@ def test_every_text_with_candidates_passes_the_gate():
     texts = ["carrera Mayor 12", "travesía del Sol, 4", "av. Diagonal 9", "12 av.Foch", "AVENIDA Real 7", "x at host [dot] com", "kim at web (dot) org", "7 Łąkowa street", "9 rue Žižka", "9 Štefan Row", "by Škoda Şahinoğlu", "Łukasz Šimson", "Żaneta Łysky", "A123BC45", "A1B2C3D4E5"]
     held = [t for t in texts if candidates(t)]
     assert len(held) >= 10 and [t for t in held if not may_hold(t)] == []
+
+
+def test_the_field_decides_unclear_mentions():
+    """A name that no list holds is found where it is unclear only because it is clear elsewhere; without skip potentials it is not."""
+    from turnwise.llm.pii import Field
+
+    field = default_field()
+    bare = Field(field.index, field.node, field.chain, field.skip * 0)
+    names = ["Kwame Mensah", "Siobhan Gallagher", "Tunde Adebayo", "Rosa Parks", "Ngozi Okafor", "Bartek Zych"]
+    texts = [f"{n} was here before. It rained a lot. Later on, the author is {n}." for n in names]
+    spans = lambda f: sum(k == "person" and t[a:b] in names for t in texts for a, b, k in find_pii(t, f))
+    assert spans(field) == 2 * len(names) and spans(bare) <= len(names)
+    assert all(found(f"We looked at {n} twice.") == [] for n in names)
+    for n in names:
+        for t in ("Regards, {}", "The author is {}.", "Contact {} at the desk.", "I talked to {} today."):
+            assert found(t.format(n)) == [("person", n)]
+    for t in ("The Order Service is slow. The Order Service again.", "Use the Strategy Pattern here.", "Die Neue Funktion fehlt."):
+        assert found(t) == []
+
+
+def test_many_spans_in_one_text():
+    import time
+
+    began = time.time()
+    assert len(find_pii(" ".join(f"user{i}@mail.example" for i in range(8000)))) == 8000
+    assert time.time() - began < 20
