@@ -48,13 +48,13 @@ def test_leaks():
     assert leaked_items(None, held) == leaked_items("", held) == leaked_items("a b", held) == [] and words_of("Ab-\nc d_e​") == ["abc", "d", "e"]
 
 
-def test_leak_query_in_blocks(spark):
+def test_leak_query(spark):
     items = [(i, text(100)) for i in range(6)] + [(7, None), (None, "x"), (8, "too short")]
     docs = [(1, text(80) + " " + items[0][1]), (2, items[5][1]), (3, items[5][1]), (4, None), (5, ""), (6, text(200))]
     d = spark.createDataFrame([(*x, "q") for x in docs], "doc_id long, text string, item_id string")
     i = spark.createDataFrame(items, "item_id long, passage string")
-    for block in (10_000, 150):
-        assert sorted((r.doc_id, r.item_id) for r in find_leaks(d, i, block_words=block).collect()) == [(1, 0), (2, 5), (3, 5)]
+    assert sorted((r.doc_id, r.item_id) for r in find_leaks(d, i).collect()) == [(1, 0), (2, 5), (3, 5)]
+    assert sorted((r.doc_id, r.item_id) for r in find_leaks(d.union(d), i.union(i)).collect()) == [(1, 0), (2, 5), (3, 5)]
     assert find_leaks(d, i.limit(0)).count() == 0 == find_leaks(d.limit(0), i).count()
 
 
@@ -108,3 +108,21 @@ def test_a_passage_in_two_pieces_is_held():
     assert leaked_items(" ".join([*words[:30], *filler(400, "y"), *words[80:90]]), held) == []
     moved = " ".join([*words[60:93], *filler(90, "y"), *words[:33]])
     assert [i for i, _ in leaked_items(moved, held)] == [1]
+
+
+def test_leaks_in_stretches_against_brute_force(spark):
+    """Copies in one to three stretches with asides and scattered changes: the held words, counted directly, decide."""
+    passages = {i: text(120).split() for i in range(12)}
+    docs, want = [], set()
+    for n in range(120):
+        item = RND.randrange(12)
+        parts = RND.choice([[(0, 120)], [(0, 45), (75, 120)], [(0, 40), (40, 80), (80, 120)], [(10, 80)], [(0, 40)], [(20, 50)], []])
+        words = text(60).split()
+        for a, b in parts:
+            words += [RND.choice(VOCABULARY) if RND.random() < 0.04 else w for w in passages[item][a:b]] + text(RND.choice([60, 200])).split()
+        docs.append((n, " ".join(words)))
+        if sum(b - a for a, b in parts) >= 66:
+            want.add((n, item))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(k, " ".join(v)) for k, v in passages.items()], "item_id long, passage string")
+    assert {(r.doc_id, r.item_id) for r in find_leaks(d, i).collect()} == want

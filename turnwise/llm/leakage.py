@@ -1,10 +1,11 @@
 """Evaluation texts leaking into documents (problem 7).
 
 Winnowing: of the hashes of all k-word grams, the smallest of each window of w is a fingerprint, so any
-shared run of k + w - 1 words shares one.  The held-out side is a stated query set: its fingerprints and
-words travel to the executors in blocks of bounded size, and each block meets all documents in one
-scan without a shuffle.  Hits are extended along their diagonal over scattered changes of words; a
-document leaks an item if the extended hits hold at least half of the passage.
+shared run of k + w - 1 words shares one.  Both sides are fingerprinted once and joined on the hash; of the
+documents only fingerprints that some passage may have reach the shuffle, told by a bit table of fixed
+size.  Pairs with enough common fingerprints are candidates: their hits are extended along their diagonals
+over scattered changes of words, and a document leaks an item if the extended hits hold at least half
+of the passage, in one piece or several.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ BAND = 12
 HITS_PER_WORD = 0.12
 #: Share of a passage that must be held.
 LEAST = 0.5
-#: Words of held-out passages in one block; bounds what is broadcast to about 100 bytes a word.
-BLOCK_WORDS = 2_000_000
+#: Bits of the table of held-out fingerprints (2 MB, whatever the number of passages).
+TABLE_BITS = 1 << 24
+#: Parts into which the documents that share one fingerprint are split.
+SALTS = 8
 
 _HYPHEN = re.compile(r"(\w)-[ \t]*\r?\n[ \t]*(\w)")
 _ESCAPES = re.compile(r"\\[nrt]")
@@ -231,38 +234,96 @@ def leaked_items(text: str | None, held: HeldOut, least: float = LEAST, k: int =
     return out
 
 
-_LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("share", T.DoubleType())]))
+def fingerprints(text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
+    """(words, hashes, positions) of a text; hashes as signed numbers."""
+    hashed = _hashes(words_of(text))
+    grams = gram_hashes(hashed)
+    at = winnow(grams)
+    return len(hashed), grams[at].view(np.int64), at
+
+
+_PRINTS = T.StructType(
+    [T.StructField("n", T.IntegerType()), T.StructField("prints", T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("place", T.IntegerType())])))]
+)
+
+
+@F.pandas_udf(_PRINTS)
+def prints_of(texts: pd.Series) -> pd.DataFrame:
+    rows = [fingerprints(t) for t in texts]
+    return pd.DataFrame({"n": [n for n, _, _ in rows], "prints": [[{"h": int(h), "place": int(p)} for h, p in zip(hs, ps)] for _, hs, ps in rows]})
+
+
+_FOUND = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("at", T.IntegerType())]))
+
 
+def _known_prints(table: Broadcast):
+    """The fingerprints of a text, with their positions, that the table holds."""
 
-def _finder(shared: Broadcast, least: float):
-    def find(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"item_id": i, "share": s} for i, s in leaked_items(t, shared.value, least)])
+    def known(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            _, hashes, at = fingerprints(t)
+            bits = hashes & (TABLE_BITS - 1)
+            kept = np.nonzero((table.value[bits >> 6] >> (bits & 63)) & 1)[0]
+            out.append([{"h": int(hashes[i]), "at": int(at[i])} for i in kept])
+        return pd.Series(out, dtype=object)
 
-    return F.pandas_udf(find, _LEAKS)
+    return F.pandas_udf(known, _FOUND)
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, least: float = LEAST, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, item_id, share): documents that hold at least ``least`` of an item's passage.
+def _bit_table(prints: DataFrame) -> np.ndarray:
+    """The fingerprints as set bits; the driver gets at most TABLE_BITS / 64 numbers."""
+    bit = F.col("h").bitwiseAND(F.lit(TABLE_BITS - 1))
+    words = prints.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST((h & {TABLE_BITS - 1}) & 63 AS INT))")).alias("b"))
+    table = np.zeros(TABLE_BITS // 64, dtype=np.int64)
+    for r in words.toLocalIterator():
+        table[r.w] = r.b
+    return table
 
-    The held-out table is read in blocks of at most ``block_words`` words; each block costs one scan of
-    the documents and one broadcast of bounded size, whatever the sizes of both tables.  Null or empty
-    texts and passages leak nothing; passages of fewer than three words are too short to tell; equal
-    texts under several ids are each reported.
+
+def _verifier(least: float):
+    def share(texts: pd.Series, items: pd.Series, passages: pd.Series) -> pd.Series:
+        held: dict[int, HeldOut] = {}
+        out = []
+        for text, item, passage in zip(texts, items, passages):
+            if (item, passage) not in held:
+                if len(held) > 1000:
+                    held.clear()
+                held[item, passage] = HeldOut.of([(item, passage)])
+            found = leaked_items(text, held[item, passage], least)
+            out.append(found[0][1] if found else None)
+        return pd.Series(out, dtype="float64")
+
+    return F.pandas_udf(share, T.DoubleType())
+
+
+def leak_candidates(documents: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
+    """(doc_id, item_id) of pairs with a band of enough common fingerprints.
+
+    A band is two neighbouring classes of diagonals (position in the document less place in the item); each
+    place of the item counts once in a class.
     """
-    spark = documents.sparkSession
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for row in items.select("item_id", "passage").where("item_id IS NOT NULL AND passage IS NOT NULL").distinct().toLocalIterator():
-        n = row.passage.count(" ") + 1
-        if blocks[-1] and size + n > block_words:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row.item_id, row.passage))
-        size += n
-    texts = documents.select("doc_id", "text").where("text IS NOT NULL AND text <> ''")
-    out = None
-    for block in blocks:
-        find = _finder(spark.sparkContext.broadcast(HeldOut.of(block)), least)
-        part = texts.select("doc_id", F.explode(find("text")).alias("l")).select("doc_id", "l.item_id", "l.share")
-        out = part if out is None else out.unionByName(part)
-    return out
+    p = items.withColumn("f", prints_of("passage")).select("item_id", F.col("f.n").alias("n"), F.explode("f.prints").alias("p"))
+    p = p.select("item_id", "n", "p.h", "p.place")
+    table = documents.sparkSession.sparkContext.broadcast(_bit_table(p))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
+    d = documents.select("doc_id", F.explode(_known_prints(table)("text")).alias("f")).select("doc_id", "f.h", "f.at", salt)
+    p = p.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    hit = F.struct(F.floor((F.col("at") - F.col("place")) / BAND).alias("b"), "place")
+    hits = d.join(p, ["h", "salt"]).groupBy("doc_id", "item_id").agg(F.collect_set(hit).alias("s"), F.first("n").alias("n"))
+    enough = f"exists(s, x -> size(filter(s, y -> y.b = x.b OR y.b = x.b + 1)) >= n * {HITS_PER_WORD * least!r}D)"
+    return hits.where(enough).select("doc_id", "item_id")
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
+    """(doc_id, item_id, share), distinct: documents that hold at least ``least`` of an item's passage.
+
+    Null or empty texts and passages leak nothing; passages of fewer than three words are too short to tell;
+    equal texts under several ids are each reported.  Documents are fingerprinted in one scan, whatever
+    the number of items; the second scan reads the texts of candidates.
+    """
+    held = items.select("item_id", "passage").where("item_id IS NOT NULL AND passage IS NOT NULL").distinct()
+    texts = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    pairs = leak_candidates(texts, held, least).join(held, "item_id").join(texts, "doc_id")
+    found = pairs.select("doc_id", "item_id", _verifier(least)("text", "item_id", "passage").alias("share"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("share").alias("share")).where("share IS NOT NULL")
