@@ -126,3 +126,19 @@ def test_leaks_in_stretches_against_brute_force(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     i = spark.createDataFrame([(k, " ".join(v)) for k, v in passages.items()], "item_id long, passage string")
     assert {(r.doc_id, r.item_id) for r in find_leaks(d, i).collect()} == want
+
+
+def test_containers_follow_from_the_data(spark):
+    docs = [(i, "word " * RND.randint(1, 400)) for i in range(80)]
+    w = spark.createDataFrame([(1, "s", 256)], "window_id int, window_name string, capacity_tokens int")
+    first, again = (
+        {tuple(r) for r in fill_containers(spark.createDataFrame(x, "doc_id long, text string").repartition(k), w, parts=2).collect()}
+        for x, k in ((docs, 2), (docs[::-1] + docs[:5], 5))
+    )
+    assert first == again
+
+
+def test_large_texts_share_their_rest():
+    lengths = [RND.randint(520, 900) for _ in range(2000)] + [RND.randint(20, 400) for _ in range(2600)]
+    bins = pack(lengths, 1000)
+    assert sum(lengths) / 1000 / len(set(bins)) > 0.95
