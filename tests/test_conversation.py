@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from turnwise.functions.text import half_even, tokens
 from turnwise.operators import metrics as M
 from turnwise.operators.normalize import normal_content, normal_speaker, normalize_turns, redact
-from turnwise.operators.phases import CATEGORIES, SUFFIXES, category_weights, label, label_phases
+from turnwise.operators.phases import CATEGORIES, SUFFIXES, category_counts, label_phases
 from turnwise.operators.scoring import resolve_weights, score
-from turnwise.operators.sequence import next_matching, with_block, with_position
+from turnwise.operators.sequence import delivered_once, look_ahead, next_matching, with_block, with_position
 
 import pytest
 
@@ -62,9 +62,13 @@ def test_weights():
 
 def test_extra_evaluators_must_not_repeat_names(make_turns):
     t = normalize_turns(make_turns(DEMO))
-    twice = ("twice", lambda f, p: f.groupBy("transcript_id").agg(F.count("*").alias("total_turns")))
+    twice = ("twice", lambda f, p, m: f.groupBy("transcript_id").agg(F.count("*").alias("total_turns")))
     with pytest.raises(ValueError):
         M.compute_metrics(t, extra=[twice])
+    share = ("share", lambda f, p, m: m.select("transcript_id", (F.col("ai_turns") / F.col("total_turns")).alias("ai_share")))
+    python = ("last", M.pandas_evaluator(lambda pdf: {"last_words": str(pdf["content"].iloc[-1])}, "last_words string"))
+    r = M.compute_metrics(t, extra=[share, python]).first()
+    assert r.ai_share == 3 / 7 and r.last_words == "Thanks"
 
 
 def test_forward_asof_and_position_over_blocks(spark):
@@ -83,10 +87,11 @@ def test_forward_asof_and_position_over_blocks(spark):
 def test_phase_fold_equals_a_loop(spark, make_turns):
     rnd = random.Random(2)
     words = "plan design code fix error tests review the a unit writing audits hello ok bugs".split()
-    rows = [(t, i, rnd.choice(["User", "AI", "Tool"]), " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 4))) or FENCE) for t in range(3) for i in range(0, 1100 if t == 0 else 30)]
-    turns = normalize_turns(make_turns(rows))
-    got = {(r.transcript_id, r.turn_idx): r.phase for r in label_phases(turns).collect()}
-    weights = category_weights()
+    rows = [(t, i, rnd.choice(["User", "AI", "Tool"]), " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 4))) if rnd.random() < 0.9 else FENCE) for t in range(3) for i in range(0, 1100 if t == 0 else 30)]
+    facts = M.turn_facts(normalize_turns(make_turns(rows)), ["step"])
+    got = {(r.transcript_id, r.turn_idx): r.phase for r in label_phases(facts).collect()}
+    counts = category_counts()
+    length = {c: sum(n * n for n in counts[c].values()) ** 0.5 for c in CATEGORIES}
 
     def cut(w):
         return next((w[: -len(s)] for s in SUFFIXES if w.endswith(s) and len(w) > len(s) + 2), w)
@@ -94,11 +99,16 @@ def test_phase_fold_equals_a_loop(spark, make_turns):
     for t in range(3):
         previous = "discussion"
         for _, i, speaker, text in [r for r in rows if r[0] == t]:
-            toks = [cut(w) for w in re.findall(r"[\w'-]+", text.lower())]
-            known = [w for w in toks if any(w in v for v in weights.values())]
+            known = [w for w in map(cut, re.findall(r"[\w'-]+", text.lower())) if any(w in v for v in counts.values())]
             norm = sum(known.count(w) ** 2 for w in set(known)) ** 0.5
-            sims = [sum(weights[c].get(w, 0.0) for w in known) / norm if norm else 0.0 for c in CATEGORIES] if toks else None
-            previous = label(speaker, text == FENCE, False, sims, previous)
+            scores = {c: sum(counts[c][w] for w in known) / norm / length[c] if norm else 0.0 for c in CATEGORIES}
+            if previous in scores:
+                scores[previous] += 0.1
+            best = max(scores, key=scores.get)
+            if text == FENCE and speaker != "User":
+                previous = "implementation"
+            else:
+                previous = best if scores[best] > 0.05 else "implementation" if speaker == "Tool" else "discussion"
             assert got[t, i] == previous, (t, i, text)
 
 
@@ -110,3 +120,41 @@ def test_timeline_is_joined_by_blocks(spark):
     out = timeline(spark.createDataFrame(rows[::-1], "transcript_id long, turn_idx long, phase string"))
     assert {r.transcript_id: r.timeline for r in out.collect()} == {t: " ".join(LETTERS[p] for u, _, p in rows if u == t) for t in (1, 2)}
     assert "block" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_look_ahead_from_the_end(spark):
+    rnd = random.Random(4)
+    rows = [(g, i, rnd.random() < 0.2) for g in range(3) for i in range(500) if rnd.random() < 0.8]
+    df = with_block(spark.createDataFrame(rows + rows[:50], "g int, o long, hit boolean"), "o", 64)
+    df = look_ahead(delivered_once(df, "g", "o"), "g", "o", {"far": (F.col("hit"), None), "nxt": (F.lit(True), F.col("o"))}, "left")
+    got = {(r.g, r.o): (r.far, r.nxt, r.left) for r in df.collect()}
+    assert len(got) == len(rows) == df.count()
+    for g in range(3):
+        own = [r for r in rows if r[0] == g]
+        for n, r in enumerate(own):
+            far = next((len(own) - m for m in range(n + 1, len(own)) if own[m][2]), None)
+            assert got[g, r[1]] == (far, own[n + 1][1] if n + 1 < len(own) else None, len(own) - n)
+
+
+def test_secrets_over_turns_and_densities(make_turns):
+    """A bearer mark takes its token from the next turn; tries are counted over blocks that parse."""
+    code = [{"code": "try:\n    x = 1\nexcept ValueError:\n    pass", "language": "python"}, {"code": "def (:", "language": "python"}]
+    t = make_turns(
+        [(1, 0, "User", "it is Bearer"), (1, 1, "AI", "", {"code_blocks": code}), (1, 2, "User", "abcdef123 works"), (2, 0, "User", "Bearer"), (2, 1, "AI", "Bearer abc"), (3, 0, "AI", "Bearer"), (3, 1, "User", "?")]
+    )
+    m = {r.transcript_id: r for r in M.compute_metrics(normalize_turns(t)).collect()}
+    want = {1: "it is Bearer\n\nabcdef123 works", 2: "Bearer\nBearer abc", 3: "Bearer\n?"}
+    for k, text in want.items():
+        assert m[k].secret_exposure_count == len(re.findall(r"(?i)\bBearer\s+[A-Za-z0-9\-._~+/]+=*\b", text)), k
+    assert m[1].exception_handling_density == 1.0 and m[1].python_candidate_block_count == 2 and m[1].parseable_python_block_count == 1
+
+
+def test_code_analysis():
+    from turnwise.operators.codeintel import measure
+
+    m = measure("import yaml, hashlib\ndef f(a: int) -> int:\n    'doc'\n    eval('1')\n    yaml.safe_load(x)\n    return hashlib.md5(b'')\nself.api_key = 'x'\nrequests.get(u, verify=False)\nsubprocess.run(c, shell=True)")
+    assert {k: v for k, v in m.items() if v} == {
+        "dynamic_code_execution": 1, "unsafe_deserialization": 1, "weak_hashing": 1, "plaintext_secret_assignment": 1, "tls_verification_disabled": 1,
+        "dangerous_subprocess": 1, "n_parsed": 1, "complexity": 1, "functions": 1, "lines": 5, "typed": 1, "documented": 1,
+    }
+    assert measure("def (:") is None and measure(None)["n_parsed"] == 1

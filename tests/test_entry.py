@@ -16,7 +16,7 @@ def test_entry(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(BASE), reason="no test tables")
-@pytest.mark.parametrize("name", ["suggestion_outcomes", "context_retention", "event_transitions", "redacted_turns"])
+@pytest.mark.parametrize("name", ["conversation_counts", "response_latency", "phase_labels", "event_transitions", "segmented_documents", "code_block_counts", "text_advice"])
 def test_sql_agrees(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{BASE}/*.parquet"):
