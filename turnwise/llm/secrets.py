@@ -179,7 +179,9 @@ def find_credentials(turns: DataFrame) -> DataFrame:
     row delivered several times counts once; texts are read whole.
     """
     indexed = trigram_index(turn_chunks(turns))
-    candidates = indexed.withColumn("rules", QUERY.rules("postings")).where("rules <> 0")
+    # Not a filter: it would be pushed down with a second copy of the index.
+    met = F.filter(F.array(QUERY.rules("postings")), lambda r: r != 0)
+    candidates = indexed.select("transcript_id", "turn_idx", "chunks", F.explode(met).alias("rules"))
     found = candidates.select("transcript_id", "turn_idx", F.explode_outer(secrets_of("chunks", "rules")).alias("secret_text"))
     return found.where("secret_text IS NOT NULL").distinct()
 
