@@ -253,20 +253,20 @@ def prints_of(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"n": [n for n, _, _ in rows], "prints": [[{"h": int(h), "place": int(p)} for h, p in zip(hs, ps)] for _, hs, ps in rows]})
 
 
-_FOUND = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("at", T.IntegerType())]))
+_FOUND = T.StructType([T.StructField("h", T.ArrayType(T.LongType())), T.StructField("at", T.ArrayType(T.LongType()))])
 
 
 def _known_prints(table: Broadcast):
-    """The fingerprints of a text, with their positions, that the table holds."""
+    """The fingerprints of a text, and their positions, that the table holds."""
 
-    def known(texts: pd.Series) -> pd.Series:
-        out = []
+    def known(texts: pd.Series) -> pd.DataFrame:
+        kept = []
         for t in texts:
             _, hashes, at = fingerprints(t)
             bits = hashes & (TABLE_BITS - 1)
-            kept = np.nonzero((table.value[bits >> 6] >> (bits & 63)) & 1)[0]
-            out.append([{"h": int(hashes[i]), "at": int(at[i])} for i in kept])
-        return pd.Series(out, dtype=object)
+            held = np.nonzero((table.value[bits >> 6] >> (bits & 63)) & 1)[0]
+            kept.append((hashes[held], at[held]))
+        return pd.DataFrame({"h": [h for h, _ in kept], "at": [at for _, at in kept]})
 
     return F.pandas_udf(known, _FOUND)
 
@@ -307,7 +307,8 @@ def leak_candidates(documents: DataFrame, items: DataFrame, least: float = LEAST
     p = p.select("item_id", "n", "p.h", "p.place")
     table = documents.sparkSession.sparkContext.broadcast(_bit_table(p))
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
-    d = documents.select("doc_id", F.explode(_known_prints(table)("text")).alias("f")).select("doc_id", "f.h", "f.at", salt)
+    d = documents.select("doc_id", _known_prints(table)("text").alias("f"))
+    d = d.select("doc_id", F.explode(F.arrays_zip("f.h", "f.at")).alias("f")).select("doc_id", "f.h", "f.at", salt)
     p = p.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
     hit = F.struct(F.floor((F.col("at") - F.col("place")) / BAND).alias("b"), "place")
     hits = d.join(p, ["h", "salt"]).groupBy("doc_id", "item_id").agg(F.collect_set(hit).alias("s"), F.first("n").alias("n"))
