@@ -220,10 +220,18 @@ def covered(doc: np.ndarray, doc_grams: np.ndarray, item: np.ndarray, item_grams
     return held / n
 
 
+@lru_cache(maxsize=2)
+def _read(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes, gram hashes); the candidates of a document follow each other, so it is read once."""
+    hashed = _hashes(words_of(text))
+    return hashed, gram_hashes(hashed)
+
+
 def leaked_items(text: str | None, held: HeldOut, least: float = LEAST, k: int = K, window: int = WINDOW) -> list[tuple[int, float]]:
     """(item id, share held) of the passages that a text gives away."""
-    hashed = _hashes(words_of(text))
-    grams = gram_hashes(hashed, k)
+    hashed, grams = _read(text)
+    if k != K:
+        grams = gram_hashes(hashed, k)
     if not len(grams) or not held.ids:
         return []
     out = []
